@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .near_dup import op4_near_dup
+from .piece_bpe import op8_sentencepiece
 
-QUERIES = {"op4_near_dup": op4_near_dup}
+QUERIES = {"op4_near_dup": op4_near_dup, "op8_sentencepiece": op8_sentencepiece}
 
 ORACLE_SQL: dict[str, str] = {}
