@@ -67,6 +67,68 @@ class PairTable:
         return np.where(hit, self.rank[at], _NONE), self.merged[at]
 
 
+def merge_rounds(pairs: PairTable, ids, segment, single: bool = False):
+    """All merge rounds over flat symbols; ``segment`` is non-decreasing. single: one merge a word and round."""
+    done_ids, done_seg = [], []
+    origin_ids, origin_seg = ids, segment
+    unsure: list[np.ndarray] = []
+    while len(ids):
+        same = segment[1:] == segment[:-1]
+        rank = np.full(len(ids), _NONE, np.int64)
+        merged = np.zeros(len(ids), np.int64)
+        inner = np.flatnonzero(same)
+        rank[inner], merged[inner] = pairs.find(ids[inner], ids[inner + 1])
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        best = np.minimum.reduceat(rank, starts)
+        sizes = np.diff(np.append(starts, len(ids)))
+        over = np.repeat(best == _NONE, sizes)
+        done_ids.append(ids[over])
+        done_seg.append(segment[over])
+        live = ~over
+        ids, segment, rank, merged = ids[live], segment[live], rank[live], merged[live]
+        best, sizes = best[best != _NONE], sizes[best != _NONE]
+        if not len(ids):
+            break
+        hit = np.flatnonzero(rank == np.repeat(best, sizes))
+        seg = segment[hit]
+        if single:
+            take = hit[np.concatenate([[True], seg[1:] != seg[:-1]])]
+        else:  # in a run of overlapping pairs, every second from its left
+            run = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])])
+            begin = hit[run][np.cumsum(run) - 1]
+            take = hit[(hit - begin) % 2 == 0]
+            many = np.concatenate([[False], segment[take][1:] == segment[take][:-1]])
+            many[:-1] |= many[1:]
+            m = take[many]
+            if len(m):
+                follows = (m + 2 < len(ids)) & (segment[np.minimum(m + 2, len(ids) - 1)] == segment[m])
+                f = m[follows]
+                r, _ = pairs.find(merged[f], ids[f + 2])
+                unsure.append(segment[f[r <= rank[f]]])
+        was = rank[take]
+        ids[take] = merged[take]
+        keep = np.ones(len(ids), bool)
+        keep[take + 1] = False
+        moved = np.cumsum(keep) - 1
+        ids, segment = ids[keep], segment[keep]
+        if not single and len(m):
+            k = moved[m]
+            was = rank[m]
+            for a in (k - 1, k):
+                ok = (a >= 0) & (a + 1 < len(ids))
+                ok[ok] = segment[a[ok]] == segment[a[ok] + 1]
+                r, _ = pairs.find(ids[a[ok]], ids[a[ok] + 1])
+                unsure.append(segment[k[ok]][r <= was[ok]])
+    ids, segment = np.concatenate(done_ids or [ids]), np.concatenate(done_seg or [segment])
+    again = np.unique(np.concatenate(unsure)) if unsure else np.zeros(0, np.int64)
+    if len(again):
+        fine, redo = ~np.isin(segment, again), np.isin(origin_seg, again)
+        more_ids, more_seg = merge_rounds(pairs, origin_ids[redo], origin_seg[redo], single=True)
+        ids, segment = np.concatenate([ids[fine], more_ids]), np.concatenate([segment[fine], more_seg])
+    order = np.argsort(segment, kind="stable")
+    return ids[order], segment[order]
+
+
 class PieceModel:
     """Vocabulary, pair table and cut rule of a BPE model file with identity normalisation, a dummy prefix and byte fallback."""
 
@@ -155,7 +217,7 @@ class PieceModel:
             cut[1:] = (word[1:] != word[:-1]) | ~self._joinable(inverse, symbols)
         segment = np.cumsum(cut) - 1
         owner = word[cut]
-        ids, segment = self._merged(ids, segment)
+        ids, segment = merge_rounds(self.pairs, ids, segment)
         spelled = {i: [self.byte_id[b] for b in s.encode()] if len(self.byte_id) == 256 else [self.unk] for s, i in (new | self.bare).items()}
         out: list[list[int]] = [[] for _ in words]
         at = np.searchsorted(owner[segment], np.arange(len(words) + 1))
@@ -166,67 +228,6 @@ class PieceModel:
             out[w] = [y for x in listed[a:b] for y in spelled.get(x, (x,))] if odd[w] else listed[a:b]
         return out
 
-    def _merged(self, ids, segment, single: bool = False):
-        """All merge rounds over flat symbols; ``segment`` is non-decreasing. single: one merge a word and round."""
-        done_ids, done_seg = [], []
-        origin_ids, origin_seg = ids, segment
-        unsure: list[np.ndarray] = []
-        while len(ids):
-            same = segment[1:] == segment[:-1]
-            rank = np.full(len(ids), _NONE, np.int64)
-            merged = np.zeros(len(ids), np.int64)
-            inner = np.flatnonzero(same)
-            rank[inner], merged[inner] = self.pairs.find(ids[inner], ids[inner + 1])
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            best = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(ids)))
-            over = np.repeat(best == _NONE, sizes)
-            done_ids.append(ids[over])
-            done_seg.append(segment[over])
-            live = ~over
-            ids, segment, rank, merged = ids[live], segment[live], rank[live], merged[live]
-            best, sizes = best[best != _NONE], sizes[best != _NONE]
-            if not len(ids):
-                break
-            hit = np.flatnonzero(rank == np.repeat(best, sizes))
-            seg = segment[hit]
-            if single:
-                take = hit[np.concatenate([[True], seg[1:] != seg[:-1]])]
-            else:  # in a run of overlapping pairs, every second from its left
-                run = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])])
-                begin = hit[run][np.cumsum(run) - 1]
-                take = hit[(hit - begin) % 2 == 0]
-                many = np.concatenate([[False], segment[take][1:] == segment[take][:-1]])
-                many[:-1] |= many[1:]
-                m = take[many]
-                if len(m):
-                    follows = (m + 2 < len(ids)) & (segment[np.minimum(m + 2, len(ids) - 1)] == segment[m])
-                    f = m[follows]
-                    r, _ = self.pairs.find(merged[f], ids[f + 2])
-                    unsure.append(segment[f[r <= rank[f]]])
-            was = rank[take]
-            ids[take] = merged[take]
-            keep = np.ones(len(ids), bool)
-            keep[take + 1] = False
-            moved = np.cumsum(keep) - 1
-            ids, segment = ids[keep], segment[keep]
-            if not single and len(m):
-                k = moved[m]
-                was = rank[m]
-                for a in (k - 1, k):
-                    ok = (a >= 0) & (a + 1 < len(ids))
-                    ok[ok] = segment[a[ok]] == segment[a[ok] + 1]
-                    r, _ = self.pairs.find(ids[a[ok]], ids[a[ok] + 1])
-                    unsure.append(segment[k[ok]][r <= was[ok]])
-        ids, segment = np.concatenate(done_ids or [ids]), np.concatenate(done_seg or [segment])
-        again = np.unique(np.concatenate(unsure)) if unsure else np.zeros(0, np.int64)
-        if len(again):
-            fine, redo = ~np.isin(segment, again), np.isin(origin_seg, again)
-            more_ids, more_seg = self._merged(origin_ids[redo], origin_seg[redo], single=True)
-            ids, segment = np.concatenate([ids[fine], more_ids]), np.concatenate([segment[fine], more_seg])
-        order = np.argsort(segment, kind="stable")
-        return ids[order], segment[order]
-
     def decode(self, ids: list[int], start: bool = True) -> str:
         """Text of any ids as the library decodes them; start: drop the dummy prefix of the first piece."""
         out, raw = [], bytearray()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .near_dup import op4_near_dup
+from .packing import op7_packing
 from .piece_bpe import op8_sentencepiece
 
-QUERIES = {"op4_near_dup": op4_near_dup, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {"op4_near_dup": op4_near_dup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
 
 ORACLE_SQL: dict[str, str] = {}
