@@ -5,7 +5,8 @@ from __future__ import annotations
 from .near_dup import op4_near_dup
 from .packing import op7_packing
 from .piece_bpe import op8_sentencepiece
+from .toxicity import op6_toxicity
 
-QUERIES = {"op4_near_dup": op4_near_dup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {"op4_near_dup": op4_near_dup, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
 
 ORACLE_SQL: dict[str, str] = {}
