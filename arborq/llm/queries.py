@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language
 from .near_dup import op4_near_dup
 from .packing import op7_packing
 from .piece_bpe import op8_sentencepiece
 from .quality_model import op2_quality_model
 from .toxicity import op6_toxicity
 
-QUERIES = {"op2_quality_model": op2_quality_model, "op4_near_dup": op4_near_dup, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {"op2_quality_model": op2_quality_model, "op3_language": op3_language, "op4_near_dup": op4_near_dup, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
 
 ORACLE_SQL: dict[str, str] = {}
