@@ -7,8 +7,19 @@ from .near_dup import op4_near_dup
 from .packing import op7_packing
 from .piece_bpe import op8_sentencepiece
 from .quality_model import op2_quality_model
+from .quality_rules import op1_quality_rules
 from .toxicity import op6_toxicity
+from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {"op2_quality_model": op2_quality_model, "op3_language": op3_language, "op4_near_dup": op4_near_dup, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_quality_model": op2_quality_model,
+    "op3_language": op3_language,
+    "op4_near_dup": op4_near_dup,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
+    "op8_sentencepiece": op8_sentencepiece,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
