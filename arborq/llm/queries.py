@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language_id import op3_language
 from .near_dup import op4_near_dup
+from .neighbours import op9_neighbours
 from .packing import op7_packing
 from .piece_bpe import op8_sentencepiece
 from .quality_model import op2_quality_model
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_neighbours": op9_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
