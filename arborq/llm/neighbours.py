@@ -101,8 +101,8 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, projections: int
 
     blocks, query_blocks = (max(1, -(-df.count() // most)) for df, most in ((index, BLOCK_ROWS), (queries, QUERY_ROWS)))
     size = F.size("vec").alias("size")
-    left = index.select("h", "ids", "vec", size, F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"))
-    right = queries.select(F.col("h").alias("q"), "vec", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("h"), F.lit(query_blocks)).cast("int").alias("part"))
+    left = index.select("h", "ids", "vec", size, F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"))
+    right = queries.select(F.col("h").alias("q"), "vec", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("h"), F.lit(query_blocks)).cast("int").alias("part"))
 
     def search(key, data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
