@@ -6,6 +6,7 @@ from .language_id import op3_language
 from .near_dup import op4_near_dup
 from .neighbours import op9_neighbours
 from .packing import op7_packing
+from .pii import op10_pii
 from .piece_bpe import op8_sentencepiece
 from .quality_model import op2_quality_model
 from .quality_rules import op1_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_neighbours": op9_neighbours,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
