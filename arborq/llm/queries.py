@@ -13,6 +13,15 @@ from .quality_rules import op1_quality_rules
 from .toxicity import op6_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
+
+
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_model": op2_quality_model,
@@ -24,6 +33,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_neighbours": op9_neighbours,
     "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}

@@ -172,6 +172,21 @@ def severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", te
     return rows.mapInArrow(run, "id long, severity double, p_toxic double, grade int, toxic boolean").withColumnRenamed("id", id_col)
 
 
+def mark(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with a column ``toxic``, without moving a row."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            p = [model.above(column.slice(lo, hi - lo))[:, 0] for lo, hi in chunks(column)]
+            toxic = np.concatenate(p) >= threshold if p else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], [*batch.schema.names, "toxic"])
+
+    schema = docs.schema
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("toxic", "boolean"))
+
+
 def labelled_documents(spark, sf_dir, docs: DataFrame | None = None) -> DataFrame:
     """Texts of ``documents`` with their toxic label."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
