@@ -47,7 +47,11 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 def _child_attrs(corpus, name: str, wanted: list[str]) -> DataFrame:
     """Attributes (by local name) of all elements of a local name below the root, as columns."""
     nodes = corpus.nodes.where("kind = 'element' AND depth = 1").where(F.substring_index("name", ":", -1) == name)
-    return nodes.select("doc_id", "node_id", *[F.get(F.filter("attrs", lambda a, w=w: F.substring_index(a["name"], ":", -1) == w), F.lit(0))["value"].alias(w) for w in wanted])
+
+    def value(w: str) -> Column:
+        return F.get(F.filter("attrs", lambda a: F.substring_index(a["name"], ":", -1) == w), F.lit(0))["value"].alias(w)
+
+    return nodes.select("doc_id", "node_id", *[value(w) for w in wanted])
 
 
 def content_types(parts: DataFrame) -> DataFrame:
