@@ -264,14 +264,15 @@ def training_windows(texts: list[str], seed: int = 10) -> tuple[np.ndarray, np.n
     return (np.array(chars), np.array(tags)) if chars else (np.zeros((0, WINDOW), np.int16), np.zeros((0, WINDOW), np.int64))
 
 
-#: Digits that an added span of a kind must hold, at least and at most; an email holds an at sign, a card's digits pass Luhn's test.
+#: Digits that an added span of a kind must hold, at least and at most; an email holds an at sign, an ip four numbers, a card's
+#: digits pass Luhn's test.
 _ALLOWED = {0: (0, 99), 1: (4, 12), 2: (13, 19), 3: (7, 15)}
 
 
 def _fits(kind: int, found: str) -> bool:
     digits = _DIGITS.sub("", found)
     low, high = _ALLOWED[kind]
-    return low <= len(digits) <= high and (kind != 2 or luhn(digits)) and (kind != 0 or "@" in found and len(found) > 4) and "\n" not in found
+    return low <= len(digits) <= high and (kind != 1 or len(re.findall("[0-9]+", found)) == 4) and (kind != 2 or luhn(digits)) and (kind != 0 or "@" in found and len(found) > 4) and "\n" not in found
 
 
 def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 2048) -> list[list[tuple[int, int, int]]]:
