@@ -1,5 +1,6 @@
 """The engine's surface: process, generate, compile, packages."""
 
+from arborq.functions.register import document_json, register
 from arborq.operators.parse import Corpus, parse
 from arborq.operators.process import diagnostics, process, verdicts
 from arborq.operators.project import Projection, project
@@ -10,6 +11,6 @@ from arborq.sources.packages import process_packages, read_packages, relationshi
 from arborq.sources.text import read_documents
 
 __all__ = [
-    "Corpus", "Projection", "Schema", "coalesce_text", "compile_dtd", "compile_ebnf", "compile_source", "compile_xsd", "diagnostics", "escape_attribute", "escape_text", "file_resolver", "format_schema",
-    "gather_text", "generate", "parse", "process", "process_packages", "project", "read_documents", "read_packages", "relationships", "verdicts",
+    "Corpus", "Projection", "Schema", "coalesce_text", "compile_dtd", "compile_ebnf", "compile_source", "compile_xsd", "diagnostics", "document_json", "escape_attribute", "escape_text", "file_resolver", "format_schema",
+    "gather_text", "generate", "parse", "process", "process_packages", "project", "read_documents", "read_packages", "register", "relationships", "verdicts",
 ]

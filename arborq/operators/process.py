@@ -27,6 +27,14 @@ def verdicts(corpus: Corpus, validating: bool = False) -> DataFrame:
     return names.join(first, "doc_id", "left").select("doc_id", F.coalesce("d.verdict", F.lit("VALID" if validating else "WELL_FORMED")).alias("verdict"), F.col("d.reason").alias("reason"), F.when(F.col("d.verdict").isNull(), F.col("root")).alias("root"))
 
 
-def process(df: DataFrame, *, validating: bool = False, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Verdict of each document, without a schema."""
-    return verdicts(parse(df, id_col=id_col, source_col=source_col, validating=validating), validating)
+def process(df: DataFrame, *, schema=None, validating: bool = False, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``(doc_id, verdict, reason, root)`` of each document. With a schema, documents are not validated against their DTD but projected:
+    VALID or INVALID, whatever the mode. ``root`` is the qualified name of the root element of accepted documents."""
+    if schema is None:
+        return verdicts(parse(df, id_col=id_col, source_col=source_col, validating=validating), validating)
+    from .project import project
+
+    corpus = parse(df, id_col=id_col, source_col=source_col)
+    roots = corpus.nodes.where("kind = 'element' AND parent_id IS NULL").select("doc_id", F.col("name").alias("root"))
+    out = project(corpus, schema).verdicts.join(roots, "doc_id", "left")
+    return out.select("doc_id", "verdict", "reason", F.when(F.col("verdict") == "VALID", F.col("root")).alias("root"))
