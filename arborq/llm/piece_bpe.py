@@ -334,6 +334,20 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
+def decode(encoded: DataFrame, *, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``(id_col, text)``: the text of any ids, as the library decodes them. Null ids give an empty text; ids outside the vocabulary are an error."""
+    path = model or model_path()
+
+    def run(batches):
+        coder = load(path)
+        for batch in batches:
+            texts = [coder.decode([i for i in ids or () if i is not None]) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+
+
 def token_digests(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of :func:`encode`'s results, digested where they are made."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

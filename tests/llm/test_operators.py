@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from arborq.llm import language_id, near_dup, neighbours, packing, pii, quality_model, quality_rules, toxicity, url_filter
-from arborq.llm.piece_bpe import token_digests
+from arborq.llm.piece_bpe import decode, encode, token_digests
 from arborq.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +99,12 @@ def test_models_on_odd_rows(spark, small):
         assert [tuple(r)[1:3] for r in rows if r.doc_id == 207][0] == [tuple(r)[1:3] for r in rows if r.doc_id == 207][1]
 
 
+def test_ids_decode_to_the_text(spark, small):
+    ids = encode(documents(spark, small).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    texts = {r.doc_id: r.text or "" for r in documents(spark, small).collect()}
+    assert all(r.text == texts[r.doc_id] for r in decode(ids).collect())
+
+
 def test_toxic_words_are_learned(spark):
     rows = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(40)) + (" nastyword" * (1 + i % 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     labelled = spark.createDataFrame(rows, "id long, text string, toxic int")
