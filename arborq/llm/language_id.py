@@ -34,12 +34,14 @@ def dictionaries(docs: DataFrame, *, dict_bytes: int = 1 << 16, per_text: int =
     ``dict_bytes`` bytes. Counts by language tell the share of rows to look at, so that no language's rows
     meet in one task. Languages come in falling order of their counts."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    by_count = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
+    if not by_count:
+        return {}
     most = 16 * (dict_bytes // per_text + 1)  # candidates for each language, about: short texts need more
-    bound = F.least(F.lit(1.0), most / F.col("n"))
-    near = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < bound * (1 << 30)).select("lang", "h", F.substring("text", 1, per_text).alias("text"))
+    # the languages' bounds go into the scan as a literal: no text moves before it is chosen
+    bound = F.create_map(*[F.lit(x) for r in by_count for x in (r["lang"], int(min(1.0, most / r["n"]) * (1 << 30)))])
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(bound, F.col("lang"))).select("lang", "h", F.substring("text", 1, per_text).alias("text"))
     taken = near.withColumn("before", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))).where(f"coalesce(before, 0) < {dict_bytes}")
-    by_count = counts.orderBy(F.desc("n"), "lang").collect()  # one row for each language
     out: dict[str, list[str]] = {r["lang"]: [] for r in by_count}
     for r in taken.orderBy("lang", "h", "text").collect():  # about dict_bytes for each language
         out[r["lang"]].append(plain(r["text"]))
