@@ -53,7 +53,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def chunks(column: pa.Array, most: int = 4 * PIECE):
+def chunks(column: pa.Array, most: int = PIECE):
     """Slices of rows of about ``most`` bytes (at least one row each): bounds the temporary arrays."""
     _, at = text_bytes(column)
     begin = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._words import chunks
+from ._words import PIECE, chunks
 
 #: Words that a Python worker remembers (about 250 bytes each); then it starts anew.
 MAX_CACHED_WORDS = 300_000
@@ -298,7 +298,7 @@ def _digests(path: str):
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
+            for lo, hi in chunks(batch.column(1), 4 * PIECE):
                 rows = encoder.run([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in c] for c in zip(*rows, strict=True)]
                 n = [ids.count(",") + 1 if ids else 0 for ids, _ in rows]
@@ -311,7 +311,7 @@ def _encoded(path: str):
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
+            for lo, hi in chunks(batch.column(1), 4 * PIECE):
                 rows = encoder.run([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 ids = [[int(x) for x in i.split(",")] if i else [] for i, _ in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())], ["id", "ids", "decoded"])

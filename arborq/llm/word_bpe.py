@@ -17,7 +17,7 @@ from ._words import range_hashes, text_bytes
 from .piece_bpe import PairTable, merge_rounds
 
 #: Words that a Python worker remembers (about 60 bytes each); then it starts anew.
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 300_000
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _FOREIGN = range(5)
 _CLASS = np.full(256, _FOREIGN, np.uint8)
@@ -83,9 +83,7 @@ class WordTable:
 
 class WordBPE:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -98,6 +96,15 @@ class WordBPE:
         self.pairs = PairTable(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))
         self.forget()
 
+    @property
+    def library(self):
+        """The tokenizers library's own tokenizer; loaded when a text needs it (some 60 MB)."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def forget(self):
         self.table, self.flat, self.at = WordTable(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
