@@ -2,8 +2,9 @@
 
 Texts that pass the base rules become vectors of transformed statistics. For each language and
 source the minimum-covariance-determinant estimate is found by concentration steps: distances by
-the current mean and covariance, the nearest three quarters of the group, their mean and covariance
-again. Rows whose squared Mahalanobis distance by the final estimate exceeds a cutoff are rejected.
+the current mean and covariance, the nearest 51 % of the group, their mean and covariance
+again, from three starts of which the smallest determinant counts. So up to 49 % of a group may be outlying, copies of one
+text among them. Rows whose squared Mahalanobis distance by the final estimate exceeds a cutoff are rejected.
 Groups with few rows are pooled, within their language first.
 
 A covariance never gets smaller than ``FLOORS``: where nearly all texts of a group agree in a statistic (no symbols at
@@ -25,7 +26,7 @@ X = ("x0", "x1", "x2", "x3")
 #: Standard deviations that are added (in squares) to the estimated ones, by statistic.
 FLOORS = (0.05, 0.4, 0.4, 0.05)
 #: Share of a group that an estimate rests on, and what makes the covariance of that share of normal rows consistent (4 statistics).
-SHARE, CONSISTENT = 0.75, 1.487
+SHARE, CONSISTENT = 0.51, 2.077
 SALTS = 32
 
 
@@ -89,7 +90,7 @@ def _by_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _cholesky(moments: DataFrame) -> DataFrame:
-    """``(grp, m0.., l00, l10, ..)``: means and the Cholesky factor of the covariance, column by column."""
+    """``(grp, start, m0.., l00, l10, ..)``: means and the Cholesky factor of the covariance, column by column."""
     p = len(X)
     out = moments
     for i in range(p):
@@ -98,7 +99,7 @@ def _cholesky(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 / 4))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return out.select("grp", "start", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -111,24 +112,58 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(X))), F.col("z0") * F.col("z0")))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Means ``m0..`` and covariances ``s00, s10, ..`` of each group."""
-    pairs = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-    return rows.groupBy("grp").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"s{i}{j}") for i, j in pairs])
+PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
+MIDDLE = [f"m{i}" for i in range(len(X))]
+SPREAD = [f"s{i}{j}" for i, j in PAIRS]
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """``(grp, start, m0.., s00, s10, ..)``: medians with median deviations, medians with the covariance of spatial signs
+    (each row at distance one from the medians), means with the plain covariance."""
+    middle = points.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(m) for x, m in zip(X, MIDDLE, strict=True)])
+    away = _by_group(points, middle, ["grp"]).groupBy("grp").agg(*[F.first(m).alias(m) for m in MIDDLE], *[(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10000)).alias(f"d{i}") for i, (x, m) in enumerate(zip(X, MIDDLE, strict=True))])
+    away = materialise(away, "mcd-medians")
+    scale = [F.sqrt(F.col(f"d{i}") * F.col(f"d{i}") + FLOORS[i] ** 2) for i in range(len(X))]
+    signs = _by_group(points, away, ["grp"]).select("grp", *MIDDLE, *X, *[c.alias(f"c{i}") for i, c in enumerate(scale)], *[((F.col(X[i]) - F.col(f"m{i}")) / scale[i]).alias(f"u{i}") for i in range(len(X))])
+    norm = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, len(X))), F.col("u0") * F.col("u0")), F.lit(1e-12))
+    more = signs.withColumn("norm", norm).groupBy("grp").agg(
+        *[F.first(m).alias(m) for m in MIDDLE],
+        *[(len(X) * F.first(F.col(f"c{i}") * F.col(f"c{j}")) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("norm"))).alias(f"s{i}{j}") for i, j in PAIRS],
+        *[F.avg(x).alias(f"a{i}") for i, x in enumerate(X)],
+        *[F.covar_pop(X[i], X[j]).alias(f"v{i}{j}") for i, j in PAIRS],
+    )
+    more = materialise(more, "mcd-signs")
+    diagonal = [(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    plain = more.select("grp", F.lit(2).alias("start"), *[F.col(f"a{i}").alias(f"m{i}") for i in range(len(X))], *[F.col(f"v{i}{j}").alias(f"s{i}{j}") for i, j in PAIRS])
+    return away.select("grp", F.lit(0).alias("start"), *MIDDLE, *diagonal).union(more.select("grp", F.lit(1).alias("start"), *MIDDLE, *SPREAD)).union(plain)
+
+
+def _moments(far: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``(grp, start, m0.., s00, s10, ..)`` of the ``h = ceil(SHARE * n)`` rows of each group and start with the smallest
+    ``d2``. Rows at the h-th distance (``cut``), as copies of one text are, share the weight that is left, so no more than h rows count.
+
+    Sums are of differences from the means before, which are near."""
+    z = [F.col(x) - F.col(m) for x, m in zip(X, MIDDLE, strict=True)]
+    names = ["k", *[f"t{i}" for i in range(len(X))], *[f"q{i}{j}" for i, j in PAIRS]]
+    sums = far.where("d2 <= cut").groupBy("grp", "start", (F.col("d2") == F.col("cut")).alias("tied")).agg(F.count("*").alias("k"), *[F.sum(z[i]).alias(f"t{i}") for i in range(len(X))], *[F.sum(z[i] * z[j]).alias(f"q{i}{j}") for i, j in PAIRS])
+    both = sums.groupBy("grp", "start").agg(*[F.coalesce(F.sum(F.when(F.col("tied") if tied else ~F.col("tied"), F.col(c))), F.lit(0)).alias(f"{c}_{int(tied)}") for c in names for tied in (False, True)])
+    both = both.join(cuts, ["grp", "start"]).withColumn("w", F.least(F.greatest((F.ceil(F.col("n") * SHARE) - F.col("k_0")) / F.greatest("k_1", F.lit(1)), F.lit(0.0)), F.lit(1.0)))
+    total = {c: F.col(f"{c}_0") + F.col("w") * F.col(f"{c}_1") for c in names}
+    means = [total[f"t{i}"] / total["k"] for i in range(len(X))]
+    return both.select("grp", "start", *[(F.col(f"m{i}") + means[i]).alias(f"m{i}") for i in range(len(X))], *[(total[f"q{i}{j}"] / total["k"] - means[i] * means[j]).alias(f"s{i}{j}") for i, j in PAIRS])
 
 
 def mcd_estimates(points: DataFrame, steps: int = 4) -> DataFrame:
-    """The estimate of each group of ``points(grp, salt, x0..)``, from medians and median deviations by ``steps`` concentration steps."""
-    middle = points.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(X)])
-    away = _by_group(points, middle, ["grp"]).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(X))], *[(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000)).alias(f"d{i}") for i, x in enumerate(X)])
-    start = away.select("grp", *[f"m{i}" for i in range(len(X))], *[(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(len(X)) for j in range(i + 1)])
-    now = materialise(_cholesky(start), "mcd")
+    """The estimate of each group of ``points(grp, salt, x0..)``: of three starts, each followed by ``steps`` concentration
+    steps, the one with the smallest determinant."""
+    now = materialise(_cholesky(_starts(points)), "mcd")
     for _ in range(steps):
-        far = _distance(_by_group(points, now, ["grp"]))
-        cut = far.groupBy("grp").agg(F.percentile_approx("d2", SHARE, 10000).alias("cut"))
-        near = _distance(_by_group(points, now.join(cut, "grp"), ["grp"])).where("d2 <= cut")
-        now = materialise(_cholesky(_moments(near)), "mcd")
-    return now
+        cuts = materialise(_distance(_by_group(points, now, ["grp"])).groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 10000).alias("cut"), F.count("*").alias("n")).join(now.select("grp", "start", *MIDDLE), ["grp", "start"]), "mcd-cuts")
+        far = _distance(_by_group(points, now.join(cuts.select("grp", "start", "cut"), ["grp", "start"]), ["grp"]))
+        now = materialise(_cholesky(_moments(far, cuts)), "mcd")
+    log_root = sum((F.log(f"l{i}{i}") for i in range(1, len(X))), F.log("l00"))
+    best = now.groupBy("grp").agg(F.min(F.struct(log_root.alias("det"), F.col("start"))).alias("best")).select("grp", "best.start")
+    return now.join(best, ["grp", "start"]).drop("start")
 
 
 def quality_rules(docs: DataFrame, *, cutoff: float = 100.0, min_rows: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -39,6 +39,15 @@ def test_outlier_is_rejected(spark):
     assert not got[900] and sum(got.values()) == 150
 
 
+
+def test_copies_of_a_third_of_a_group_are_rejected(spark):
+    rows = [(i, " ".join(f"word{(i * 13 + j * j) % 97}" for j in range(60 + i % 40)), "en", "s") for i in range(400)]
+    rows += [(1000 + i, " ".join(f"word{j}***" for j in range(80)), "en", "s") for i in range(200)]
+    rows += [(2000 + i, " ".join(f"word{j + i}***" for j in range(70 + i)), "en", "s") for i in range(20)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(k for i, k in got.items() if i >= 1000) and sum(got.values()) == 400
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for i, t in rows:
