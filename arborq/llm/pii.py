@@ -5,7 +5,8 @@ of windows, and variants of them that the rules miss (a phone number without its
 an address with blanks around its signs). It reads windows of ``WINDOW`` characters that overlap by half. By the
 label model every span holds a digit or an at sign, so a window without either has one labelling only, all outside, and is not
 computed. Each window is decoded with the CRF (Viterbi); a span counts where its middle lies in a
-window's central half (or beside a window that was not computed), and spans of a text are then
+window's central half (or beside a window that was not computed); one that a window's edge cuts off is joined with the pieces
+that go on in the next windows, which are computed for it if they were not. Spans of a text are then
 reconciled from left to right: the rules' spans stay, added ones never overlap them or each other."""
 
 from __future__ import annotations
@@ -275,9 +276,28 @@ def _fits(kind: int, found: str) -> bool:
     return low <= len(digits) <= high and (kind != 1 or len(re.findall("[0-9]+", found)) == 4) and (kind != 2 or luhn(digits)) and (kind != 0 or "@" in found and len(found) > 4) and "\n" not in found
 
 
+def _joined(spans, cut):
+    """``spans`` and, of those that a window's edge cuts off, what they are with the pieces of their kind that go on beyond it."""
+    edges = {(k, a, b): (left, right) for k, a, b, left, right in cut}
+    pieces = {(*s, *edges.get(s, (False, False))) for s in spans} | set(cut)
+    out = list(spans)
+    for kind, start, end in spans:
+        left, right = edges.get((kind, start, end), (False, False))
+        a, b = start, end
+        while right:
+            b, right = max(((y, r) for k, x, y, l, r in pieces if k == kind and y > b and (x < b or x == b and l)), default=(b, False))
+        while left:
+            a, go = min(((x, not l) for k, x, y, l, r in pieces if k == kind and x < a and (y > a or y == a and r)), default=(a, True))
+            left = not go
+        if (a, b) != (start, end):
+            out.append((kind, a, b))
+    return out
+
+
 def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 2048) -> list[list[tuple[int, int, int]]]:
     """Spans that the network adds to the rules' ones, for each text."""
-    windows, owners, begins, lone = [], [], [], []
+    coded: dict[int, tuple[np.ndarray, int, np.ndarray]] = {}
+    todo: list[tuple[int, int, bool, bool, bool]] = []  # text, window, whether its first and last quarter count too, whether only as a continuation
     for i, text in enumerate(texts):
         if not text or not _ANCHOR.search(text):
             continue
@@ -288,26 +308,40 @@ def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int,
         use = np.zeros(count, bool)
         use[np.minimum(hits // STRIDE, count - 1)] = True
         use[np.maximum(np.minimum(hits // STRIDE - 1, count - 1), 0)] = True
-        for k in np.flatnonzero(use).tolist():
-            piece = ids[k * STRIDE : k * STRIDE + WINDOW]
-            windows.append(np.pad(piece, (0, WINDOW - len(piece)), constant_values=32) if len(piece) < WINDOW else piece)
-            owners.append(i)
-            begins.append(k * STRIDE)
-            lone.append((k == 0 or not use[k - 1], k == count - 1 or not use[k + 1]))
+        todo += [(i, k, k == 0 or not use[k - 1], k == count - 1 or not use[k + 1], False) for k in np.flatnonzero(use).tolist()]
+        coded[i] = ids, count, use
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for lo in range(0, len(windows), batch):
-        tags = net.decode(np.array(windows[lo : lo + batch]))
-        for r in np.flatnonzero(tags.any(1)).tolist():
-            row, (first, last) = tags[r], lone[lo + r]
-            starts = np.flatnonzero(row % 2 == 1)
-            for s in starts.tolist():
-                kind = int(row[s] - 1) // 2
-                e = s + 1
-                while e < WINDOW and row[e] == row[s] + 1:
-                    e += 1
-                middle = (s + e) / 2
-                if (first or middle >= WINDOW // 4) and (last or middle < WINDOW - WINDOW // 4):
-                    found[owners[lo + r]].append((kind, begins[lo + r] + s, begins[lo + r] + e))
+    cut: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]
+    while todo:
+        more: list[tuple[int, int, bool, bool, bool]] = []
+        for lo in range(0, len(todo), batch):
+            part = todo[lo : lo + batch]
+            pieces = [coded[i][0][k * STRIDE : k * STRIDE + WINDOW] for i, k, *_ in part]
+            tags = net.decode(np.array([np.pad(x, (0, WINDOW - len(x)), constant_values=32) for x in pieces]))
+            for r in np.flatnonzero(tags.any(1)).tolist():
+                row, (i, k, first, last, only) = tags[r], part[r]
+                ids, count, use = coded[i]
+                begin = k * STRIDE
+                starts = np.flatnonzero(row % 2 == 1)
+                for s in starts.tolist():
+                    kind = int(row[s] - 1) // 2
+                    e = s + 1
+                    while e < WINDOW and row[e] == row[s] + 1:
+                        e += 1
+                    middle = (s + e) / 2
+                    counts = not only and (first or middle >= WINDOW // 4) and (last or middle < WINDOW - WINDOW // 4)
+                    if counts:
+                        found[i].append((kind, begin + s, begin + e))
+                    left, right = s == 0 and begin > 0, e == WINDOW and begin + WINDOW < len(ids)
+                    if left or right:
+                        cut[i].append((kind, begin + s, begin + e, left, right))
+                    # a span goes on in a neighbour that was not computed
+                    for n in [k - 1] * (left and (counts or right)) + [k + 1] * (right and (counts or left)):
+                        if 0 <= n < count and not use[n]:
+                            use[n] = True
+                            more.append((i, n, False, False, True))
+        todo = more
+    found = [_joined(spans, pieces) if pieces else spans for spans, pieces in zip(found, cut, strict=True)]
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
         taken = sorted((a, b) for _, a, b in own)

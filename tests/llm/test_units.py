@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -135,3 +136,20 @@ def test_neighbours_recall():
         rows, _ = index.search(v[q], 6, share=0.6, enough=0.15)
         hit += np.isin(np.argsort(-(unit @ unit[q]))[:6], rows).sum()
     assert hit >= 0.9 * 240
+
+
+class Marked:
+    """Decodes runs of x and @ as emails, each window for itself."""
+
+    def decode(self, chars):
+        hit = (chars == 120) | (chars == 64)
+        return np.where(hit, np.where(np.pad(hit[:, :-1], ((0, 0), (1, 0))), 2, 1), 0)
+
+
+@pytest.mark.parametrize("size", (20, 48, 49, 60, 96, 150))
+def test_added_span_is_whole_at_every_offset(size):
+    for place in (0, size // 2, size - 1):
+        span = "x" * place + "@" + "x" * (size - place - 1)
+        for at in range(0, 200):
+            text = " " * at + span + " " * 170
+            assert pii.added_spans(Marked(), [text], [[]]) == [[(0, at, at + size)]], (size, place, at)
