@@ -172,17 +172,26 @@ def quality_rules(docs: DataFrame, *, cutoff: float = 100.0, min_rows: int = 100
     ``base_failed``: under 50 words, or more than half of them in repeated 3-word windows.
     ``kept``: false for those, else whether the squared distance is at most ``cutoff``. Language-source groups under ``min_rows``
     are pooled by language, and languages whose pool is still smaller with each other; if that pool has under ``min_rows`` rows too, its rows are
-    kept without a distance. A null language or source is a value like others. Null, empty and blank texts fail the base
+    judged by the estimate of all rows of their language, or of all rows where the language has fewer. Only if the whole table has under ``min_rows`` rows
+    that pass the base rules, there is no estimate, and they are kept without a distance. A null language or source is a value like others. Null, empty and blank texts fail the base
     rules. Null and repeated ids are carried; an empty table gives none."""
     rows = materialise(base_statistics(docs, id_col, text_col, lang_col, source_col).withColumns({"base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")), "salt": F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"), "own": F.to_json(F.struct("lang", "source"))}), "quality-stats")
     sizes = rows.where("NOT base_failed").groupBy("own", "lang").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("rest", F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
-    level = F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("rest") >= min_rows, F.to_json(F.struct("lang"))).otherwise(F.lit("{}"))
-    groups = sizes.select("own", level.alias("grp"))
+    alike = Window.partitionBy("lang")
+    sizes = sizes.withColumns({"rest": F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).over(alike), "spoken": F.sum("n").over(alike)})
+    level = F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("rest") >= min_rows, F.to_json(F.struct("lang")))
+    sizes = materialise(sizes.withColumn("level", level), "quality-groups")
+    pool = sizes.agg(F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("pool"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    # the last pool, where it is small, is judged by estimates that rest on the rows of other groups too
+    wide = F.when(F.col("pool") >= min_rows, F.lit("{}")).when(F.col("spoken") >= min_rows, F.concat(F.lit("language "), F.to_json(F.struct("lang")))).when(F.col("total") >= min_rows, F.lit("all"))
+    named = sizes.crossJoin(F.broadcast(pool)).withColumn("grp", F.coalesce("level", wide))
+    borrows = F.col("level").isNull() & (F.col("pool") < min_rows)
+    by_lang = F.max(F.when(borrows & (F.col("spoken") >= min_rows), F.col("grp"))).over(alike)
+    by_all = named.agg(F.max(F.when(borrows & (F.col("grp") == "all"), F.lit("all"))).alias("by_all"))
+    groups = named.crossJoin(F.broadcast(by_all)).select("own", "grp", F.array_compact(F.array(F.when(~borrows, F.col("grp")), by_lang, F.col("by_all"))).alias("trains"))
     columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    points = materialise(_by_group(rows.where("NOT base_failed"), groups, ["own"]).select(*columns, "grp", "salt", *_vector()), "quality-points")
-    enough = points.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("grp")
-    estimates = mcd_estimates(points.join(enough.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], "left_semi"))
+    points = materialise(_by_group(rows.where("NOT base_failed"), groups, ["own"]).select(*columns, "grp", "trains", "salt", *_vector()), "quality-points")
+    estimates = mcd_estimates(materialise(points.select(F.explode("trains").alias("grp"), "salt", *X), "quality-vectors"))
     found = _distance(points.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], "left"))
     judged = found.select(*columns, F.coalesce(F.col("d2") <= cutoff, F.lit(True)).alias("kept"), F.col("d2").alias("distance"))
     failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))

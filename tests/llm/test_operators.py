@@ -48,6 +48,17 @@ def test_copies_of_a_third_of_a_group_are_rejected(spark):
     assert not any(k for i, k in got.items() if i >= 1000) and sum(got.values()) == 400
 
 
+
+def test_small_last_pool_is_judged(spark):
+    plain = lambda i: " ".join(f"word{(i * 13 + j * j) % 97}" for j in range(60 + i % 40))
+    junk = " ".join(f"word{j}***" for j in range(80))
+    rows = [(i, plain(i), "en", "s") for i in range(150)]
+    rows += [(500, plain(3), "en", "small"), (501, junk, "en", "small"), (502, plain(4), "fr", "s"), (503, junk, "fr", "s"), (504, junk, None, None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {501, 503, 504}
+    assert all(r.distance is not None for r in got.values())
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for i, t in rows:
