@@ -77,7 +77,7 @@ def decode(source: bytes | str) -> tuple[str, bool]:
         text = raw.decode("utf-16-le" if source[0] == 0xFF else "utf-16-be", "replace")
     else:
         raw = source.removeprefix(b"\xef\xbb\xbf")
-        head = raw[:256].decode("latin-1")
+        head = raw[: raw.find(b"?>") + 2].decode("latin-1") if raw.startswith(b"<?xml") else ""
         if declared(head, "encoding").lower() in ("iso-8859-1", "latin-1", "latin1"):
             text = raw.decode("latin-1")
         else:
@@ -85,7 +85,7 @@ def decode(source: bytes | str) -> tuple[str, bool]:
                 text = raw.decode()
             except UnicodeDecodeError as e:
                 raise Rejected(f"illegal byte at offset {e.start}") from None
-    return text, declared(text[:256], "version") == "1.1"
+    return text, declared(text, "version") == "1.1"
 
 
 def line_ends(text: str, v11: bool) -> str:

@@ -17,7 +17,7 @@ def decoded(source: Column) -> Column:
     """Text of a binary column: UTF-16 by its byte order mark, declared Latin-1, else UTF-8 without its mark."""
     head = F.hex(F.substring(source, 1, 3))
     body = lambda n: F.substr(source, F.lit(n))
-    latin = F.lower(pseudo_attribute(F.decode(F.substring(source, 1, 256), "ISO-8859-1"), "encoding")).isin("iso-8859-1", "latin-1", "latin1")
+    latin = F.lower(pseudo_attribute(F.decode(source, "ISO-8859-1"), "encoding")).isin("iso-8859-1", "latin-1", "latin1")
     return (
         F.when(head.startswith("FFFE"), F.decode(body(3), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(body(3), "UTF-16BE"))
@@ -29,7 +29,8 @@ def decoded(source: Column) -> Column:
 
 def pseudo_attribute(text: Column, name: str) -> Column:
     """What stands between the next two quotes behind the name inside the XML declaration; empty without it."""
-    return F.regexp_extract(text, f"(?s)^<\\?xml(?:(?!\\?>).)*?{name}(?:(?!\\?>)[^'\"])*['\"]((?:(?!\\?>)[^'\"])*)['\"]", 1)
+    head = F.substring_index(text, "?>", 1)
+    return F.when(F.contains(text, F.lit("?>")), F.regexp_extract(head, f"(?s)^<\\?xml.*?{name}[^'\"]*['\"]([^'\"]*)['\"]", 1)).otherwise(F.substring(text, 1, 0))
 
 
 def is_v11(text: Column) -> Column:

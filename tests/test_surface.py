@@ -38,3 +38,19 @@ def test_normalisation_columns(spark):
     t = spark.createDataFrame([("<?xml version='1.1'?>a\r\nb\rc\x01",)], "t string")
     row = t.select(pseudo_attribute(F.col("t"), "version").alias("v"), line_ends(F.col("t")).alias("l"), illegal_at(F.col("t")).alias("i")).first()
     assert row.v == "1.1" and row.l.endswith("a\nb\nc\x01") and row.i == 28
+
+
+def test_declaration_may_end_late(spark):
+    from pyspark.sql import functions as F
+
+    from arborq.functions.scanner import decode
+    from arborq.sources.text import decoded, is_v11
+
+    gap = " " * 5000
+    latin = f"<?xml version='1.0'{gap}encoding='iso-8859-1'{gap}?><a>\u00e9</a>".encode("latin-1")
+    newer = f"<?xml{gap}version='1.1'{gap}?><a/>".encode()
+    late = b"<a/>" + b" " * 300 + b"<?xml version='1.1' encoding='latin-1'?>"
+    assert decode(latin) == (latin.decode("latin-1"), False)
+    assert [decode(x)[1] for x in (newer, newer.decode(), late)] == [True, True, False]
+    rows = spark.createDataFrame([(0, latin), (1, newer), (2, late)], "k int, source binary").select("k", decoded(F.col("source")).alias("text")).select("k", "text", is_v11(F.col("text")).alias("v11")).orderBy("k").collect()
+    assert [(r.text, r.v11) for r in rows] == [(latin.decode("latin-1"), False), (newer.decode(), True), (late.decode(), False)]
