@@ -14,35 +14,65 @@ MAX_BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session, else (as in
-    tests on one machine) a temporary folder that is set once for the session."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Where it is unset, a folder in the
+    warehouse, which a cluster shares too; with a local master (as in tests) a temporary folder of the machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborq-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = tempfile.mkdtemp(prefix="arborq-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/arborq-work"
+        spark.sparkContext.setCheckpointDir(folder)
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation of what stands before."""
+    and a lost executor costs no recomputation of what stands before. The table is deleted by :func:`discard`, else
+    when the session's JVM ends, since a result that is not read yet may rest on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arborq-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, folder = _file_system(spark, path)
+    system.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialise` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/arborq-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            system, path = _file_system(df.sparkSession, folder)
+            system.delete(path, True)
+
+
+#: A key with more rows than this is dealt over several tasks by :func:`spread`.
+HOT_ROWS = 512
+
+
+def hot_keys(sizes: DataFrame, key: str, n_col: str) -> DataFrame:
+    """``(key, salts)`` of the keys of ``sizes(key, n)`` that hold over :data:`HOT_ROWS` rows; broadcast where their counted
+    number is at most :data:`MAX_BROADCAST_IDS`."""
+    hot = sizes.where(F.col(n_col) > HOT_ROWS).select(key, F.ceil(F.col(n_col) / HOT_ROWS).cast("int").alias("salts"))
+    return F.broadcast(hot) if hot.count() <= MAX_BROADCAST_IDS else hot
+
+
+def spread(df: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``df`` with ``salt``, from 0 up to the key's ``salts`` by a hash of ``by``; 0 for keys that aren't hot."""
+    return df.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def replicate(per_key: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """The other side of a join with :func:`spread`: a hot key's row once for each ``salt``."""
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
+    return per_key.join(hot, key, "left").withColumn("salt", salts).drop("salts")
 
 
 def restrict(df: DataFrame, ids: DataFrame, n_ids: int, on: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
-Texts that pass the base rules become vectors of transformed statistics. For each language and
-source the minimum-covariance-determinant estimate is found by concentration steps: distances by
-the current mean and covariance, the nearest 51 % of the group, their mean and covariance
-again, from three starts of which the smallest determinant counts. So up to 49 % of a group may be outlying, copies of one
-text among them. Rows whose squared Mahalanobis distance by the final estimate exceeds a cutoff are rejected.
-Groups with few rows are pooled, within their language first.
-
-A covariance never gets smaller than ``FLOORS``: where nearly all texts of a group agree in a statistic (no symbols at
-all, say), a plain determinant would be zero and any text that differs would be rejected.
-
-Group sums combine before they shuffle. Estimates join the rows by group and salt, so a group
-with a third of all rows is spread over many tasks; nothing comes to the driver."""
+Texts that pass the base rules become vectors of transformed statistics. The
+minimum-covariance-determinant estimate is found by concentration steps: distances by the current
+mean and covariance, the nearest 51 % of the group, their mean and covariance again, from three
+fixed starts; after two steps the start of the smallest determinant goes on, until its determinant
+stops falling. So up to 49 % of a group may be outlying, copies of one text among them.
+
+Every language-source group has an estimate, however small: its moments are mixed with those of its
+language, and these with those of all rows, by their numbers of rows against ``MEAN_PRIOR`` and
+``PRIOR``. Rows whose squared Mahalanobis distance exceeds the cutoff are rejected. A covariance never gets smaller than
+``FLOORS``: where nearly all texts of a group agree in a statistic (no symbols at all, say), a
+plain determinant would be zero and any text that differs would be rejected.
+
+A step is one pass: distances fall into bins of 3 %, and each bin's sums are added before they
+shuffle. The bin in which the 51 % end counts in part, so copies of one text never count for more.
+Estimates are one small row a group and join the rows by group and salt; nothing but two numbers a
+step comes to the driver."""
 
 from __future__ import annotations
 
@@ -27,7 +31,13 @@ X = ("x0", "x1", "x2", "x3")
 FLOORS = (0.05, 0.4, 0.4, 0.05)
 #: Share of a group that an estimate rests on, and what makes the covariance of that share of normal rows consistent (4 statistics).
 SHARE, CONSISTENT = 0.51, 2.077
+#: Rows of the wider group that a group's own rows are weighed against, for covariances and for means.
+PRIOR, MEAN_PRIOR = 100.0, 25.0
 SALTS = 32
+#: Bins of a distance: so many for each doubling.
+FINE = 24
+#: A determinant that falls by less than this share has stopped falling.
+STILL = 1e-3
 
 
 def _let(value: Column, body) -> Column:
@@ -45,10 +55,12 @@ def _repeated_words(hashes: Column) -> Column:
         return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
     def positions(s):
-        return F.sort_array(F.transform(F.filter(s, lambda e, i: (e["g"] == F.get(s, i - 1)["g"]) | (e["g"] == F.get(s, i + 1)["g"])), lambda e: e["i"]))
+        again = F.filter(s, lambda e, i: (e["g"] == F.get(s, i - 1)["g"]) | (e["g"] == F.get(s, i + 1)["g"]))
+        return F.sort_array(F.transform(again, lambda e: e["i"]))
 
     def covered(p):
-        return F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, b: a + b)
+        steps = F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
     def count(g):
         ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
@@ -62,12 +74,14 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Windows are compared by a 64-bit hash of theirs: two different ones of a text of n words agree
     with a chance below n * n / 2^65."""
-    text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = lambda c, alias: F.col(c).cast("string").alias(alias)
+    text = docs.select(F.col(id_col).alias("id"), named(lang_col, "lang"), named(source_col, "source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    hashes = F.transform(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     return text.select(
         "id", "lang", "source",
-        _let(F.transform(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _repeated_words(h).cast("long").alias("n_repeat_words"))).alias("w"),
+        _let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _repeated_words(h).cast("long").alias("n_repeat_words"))).alias("w"),
         (F.length(t) - F.length(F.regexp_replace(t, WORD, ""))).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -84,118 +98,144 @@ def _vector() -> list[Column]:
     ]
 
 
-def _by_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (with a ``salt``) with their group's columns, the groups once for each salt."""
-    return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+P = len(X)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MIDDLE = [f"m{i}" for i in range(P)]
+SPREAD = [f"s{i}{j}" for i, j in PAIRS]
+FACTOR = [f"l{i}{j}" for i, j in PAIRS]
+
+
+def _salted(groups: DataFrame) -> DataFrame:
+    """A group's row once for each salt, so that the rows of no group have to meet in one task."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """``(grp, start, m0.., l00, l10, ..)``: means and the Cholesky factor of the covariance, column by column."""
-    p = len(X)
-    out = moments
-    for i in range(p):
+def _factor() -> dict[str, Column]:
+    """The Cholesky factor of the covariance in the columns ``s00, s10, ..``, by the names of :data:`FACTOR`."""
+    out: dict[str, Column] = {}
+    for i in range(P):
         for j in range(i + 1):
             c = F.col(f"s{i}{j}") * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 / 4))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("grp", "start", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+                c = c - (F.pow(out[f"l{i}{k}"], F.lit(2.0)) if i == j else out[f"l{i}{k}"] * out[f"l{j}{k}"])
+            out[f"l{i}{j}"] = F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 / 4))) if i == j else c / out[f"l{j}{j}"]
+    return out
 
 
-def _distance(rows: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance."""
-    for i, x in enumerate(X):
-        z = F.col(x) - F.col(f"m{i}")
-        for j in range(i):
-            z = z - F.col(f"l{i}{j}") * F.col(f"z{j}")
-        rows = rows.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(X))), F.col("z0") * F.col("z0")))
+def _with_factor(moments: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, moments, factor, and ``det``, half the logarithm of the determinant."""
+    factor = _factor()
+    det = sum((F.log(factor[f"l{i}{i}"]) for i in range(1, P)), F.log(factor["l00"]))
+    return moments.select(*keys, *MIDDLE, *SPREAD, *[c.alias(name) for name, c in factor.items()], det.alias("det"))
 
 
-PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-MIDDLE = [f"m{i}" for i in range(len(X))]
-SPREAD = [f"s{i}{j}" for i, j in PAIRS]
+def _distance() -> Column:
+    """The squared Mahalanobis distance of a row joined with its group's means and factor."""
+    z: list[Column] = []
+    for i, x in enumerate(X):
+        off = F.col(x) - F.col(f"m{i}")
+        for j in range(i):
+            off = off - F.col(f"l{i}{j}") * z[j]
+        z.append(off / F.col(f"l{i}{i}"))
+    return sum((F.pow(c, F.lit(2.0)) for c in z[1:]), F.pow(z[0], F.lit(2.0)))
 
 
 def _starts(points: DataFrame) -> DataFrame:
-    """``(grp, start, m0.., s00, s10, ..)``: medians with median deviations, medians with the covariance of spatial signs
-    (each row at distance one from the medians), means with the plain covariance."""
-    middle = points.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(m) for x, m in zip(X, MIDDLE, strict=True)])
-    away = _by_group(points, middle, ["grp"]).groupBy("grp").agg(*[F.first(m).alias(m) for m in MIDDLE], *[(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10000)).alias(f"d{i}") for i, (x, m) in enumerate(zip(X, MIDDLE, strict=True))])
-    away = materialise(away, "mcd-medians")
-    scale = [F.sqrt(F.col(f"d{i}") * F.col(f"d{i}") + FLOORS[i] ** 2) for i in range(len(X))]
-    signs = _by_group(points, away, ["grp"]).select("grp", *MIDDLE, *X, *[c.alias(f"c{i}") for i, c in enumerate(scale)], *[((F.col(X[i]) - F.col(f"m{i}")) / scale[i]).alias(f"u{i}") for i in range(len(X))])
-    norm = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, len(X))), F.col("u0") * F.col("u0")), F.lit(1e-12))
-    more = signs.withColumn("norm", norm).groupBy("grp").agg(
-        *[F.first(m).alias(m) for m in MIDDLE],
-        *[(len(X) * F.first(F.col(f"c{i}") * F.col(f"c{j}")) * F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("norm"))).alias(f"s{i}{j}") for i, j in PAIRS],
-        *[F.avg(x).alias(f"a{i}") for i, x in enumerate(X)],
-        *[F.covar_pop(X[i], X[j]).alias(f"v{i}{j}") for i, j in PAIRS],
-    )
-    more = materialise(more, "mcd-signs")
-    diagonal = [(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
-    plain = more.select("grp", F.lit(2).alias("start"), *[F.col(f"a{i}").alias(f"m{i}") for i in range(len(X))], *[F.col(f"v{i}{j}").alias(f"s{i}{j}") for i, j in PAIRS])
-    return away.select("grp", F.lit(0).alias("start"), *MIDDLE, *diagonal).union(more.select("grp", F.lit(1).alias("start"), *MIDDLE, *SPREAD)).union(plain)
-
-
-def _moments(far: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``(grp, start, m0.., s00, s10, ..)`` of the ``h = ceil(SHARE * n)`` rows of each group and start with the smallest
-    ``d2``. Rows at the h-th distance (``cut``), as copies of one text are, share the weight that is left, so no more than h rows count.
-
-    Sums are of differences from the means before, which are near."""
+    """``(grp, start, m0.., s00, s10, ..)``, from one pass: medians and quartile distances, lower quartiles with the same
+    distances (what is junk has high statistics), means with the plain covariance."""
+    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(X)]
+    plain = [F.covar_pop(X[i], X[j]).alias(f"s{i}{j}") for i, j in PAIRS]
+    seen = materialise(points.groupBy("grp").agg(*quartiles, *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *plain), "mcd-starts")
+    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2.0)) for i in range(P)]
+    diagonal = [(spread[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    at = lambda k: [F.col(f"q{i}")[k].alias(f"m{i}") for i in range(P)]
+    by_rank = [seen.select("grp", F.lit(start).alias("start"), *at(k), *diagonal) for start, k in ((0, 1), (1, 0))]
+    return by_rank[0].union(by_rank[1]).union(seen.select("grp", F.lit(2).alias("start"), *MIDDLE, *SPREAD))
+
+
+def _step(points: DataFrame, now: DataFrame) -> DataFrame:
+    """``(grp, start, was, n, m0.., s00, .., l00, .., det)`` of the ``ceil(SHARE * n)`` rows of each group and start that are
+    nearest by the moments and factor ``now``, in one pass over the rows: the bin of distances in which they end counts by the part that is left.
+
+    Sums are of differences from the means before, which are near. ``was`` is the determinant by ``now``."""
     z = [F.col(x) - F.col(m) for x, m in zip(X, MIDDLE, strict=True)]
-    names = ["k", *[f"t{i}" for i in range(len(X))], *[f"q{i}{j}" for i, j in PAIRS]]
-    sums = far.where("d2 <= cut").groupBy("grp", "start", (F.col("d2") == F.col("cut")).alias("tied")).agg(F.count("*").alias("k"), *[F.sum(z[i]).alias(f"t{i}") for i in range(len(X))], *[F.sum(z[i] * z[j]).alias(f"q{i}{j}") for i, j in PAIRS])
-    both = sums.groupBy("grp", "start").agg(*[F.coalesce(F.sum(F.when(F.col("tied") if tied else ~F.col("tied"), F.col(c))), F.lit(0)).alias(f"{c}_{int(tied)}") for c in names for tied in (False, True)])
-    both = both.join(cuts, ["grp", "start"]).withColumn("w", F.least(F.greatest((F.ceil(F.col("n") * SHARE) - F.col("k_0")) / F.greatest("k_1", F.lit(1)), F.lit(0.0)), F.lit(1.0)))
-    total = {c: F.col(f"{c}_0") + F.col("w") * F.col(f"{c}_1") for c in names}
-    means = [total[f"t{i}"] / total["k"] for i in range(len(X))]
-    return both.select("grp", "start", *[(F.col(f"m{i}") + means[i]).alias(f"m{i}") for i in range(len(X))], *[(total[f"q{i}{j}"] / total["k"] - means[i] * means[j]).alias(f"s{i}{j}") for i, j in PAIRS])
-
-
-def mcd_estimates(points: DataFrame, steps: int = 4) -> DataFrame:
-    """The estimate of each group of ``points(grp, salt, x0..)``: of three starts, each followed by ``steps`` concentration
-    steps, the one with the smallest determinant."""
-    now = materialise(_cholesky(_starts(points)), "mcd")
-    for _ in range(steps):
-        cuts = materialise(_distance(_by_group(points, now, ["grp"])).groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 10000).alias("cut"), F.count("*").alias("n")).join(now.select("grp", "start", *MIDDLE), ["grp", "start"]), "mcd-cuts")
-        far = _distance(_by_group(points, now.join(cuts.select("grp", "start", "cut"), ["grp", "start"]), ["grp"]))
-        now = materialise(_cholesky(_moments(far, cuts)), "mcd")
-    log_root = sum((F.log(f"l{i}{i}") for i in range(1, len(X))), F.log("l00"))
-    best = now.groupBy("grp").agg(F.min(F.struct(log_root.alias("det"), F.col("start"))).alias("best")).select("grp", "best.start")
-    return now.join(best, ["grp", "start"]).drop("start")
-
-
-def quality_rules(docs: DataFrame, *, cutoff: float = 100.0, min_rows: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    names = ["k", *[f"t{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS]]
+    known = now.select("grp", "start", *MIDDLE, *FACTOR)
+    far = points.join(_salted(known), ["grp", "salt"]).withColumn("d2", _distance())
+    nth = F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * FINE).cast("int")
+    sums = [F.count("*").alias("k"), *[F.sum(z[i]).alias(f"t{i}") for i in range(P)], *[F.sum(z[i] * z[j]).alias(f"q{i}{j}") for i, j in PAIRS]]
+    bins = far.groupBy("grp", "start", nth.alias("bin")).agg(*sums)
+    group = Window.partitionBy("grp", "start")
+    bins = bins.withColumns({"n": F.sum("k").over(group), "before": F.sum("k").over(group.orderBy("bin")) - F.col("k")})
+    w = F.least(F.greatest((F.ceil(F.col("n") * SHARE) - F.col("before")) / F.col("k"), F.lit(0.0)), F.lit(1.0))
+    total = bins.groupBy("grp", "start").agg(F.first("n").alias("n"), *[F.sum(w * F.col(c)).alias(c) for c in names])
+    means = [F.col(f"t{i}") / F.col("k") for i in range(P)]
+    moments = total.join(now.select("grp", "start", *MIDDLE, F.col("det").alias("was")), ["grp", "start"]).select(
+        "grp", "start", "was", "n",
+        *[(F.col(f"m{i}") + means[i]).alias(f"m{i}") for i in range(P)],
+        *[(F.col(f"q{i}{j}") / F.col("k") - means[i] * means[j]).alias(f"s{i}{j}") for i, j in PAIRS],
+    )
+    return _with_factor(moments, "grp", "start", "was", "n")
+
+
+def mcd_moments(points: DataFrame, most: int = 30) -> DataFrame:
+    """``(grp, n, m0.., s00, ..)`` of each group of ``points(grp, salt, x0..)``: three starts with two concentration steps
+    each; then that of the smallest determinant alone, until no group's determinant falls by a share of :data:`STILL` any more
+    (``most`` steps at most: a guard against steps that go round, not met in practice)."""
+    now = materialise(_with_factor(_starts(points), "grp", "start"), "mcd")
+    for step in range(most):
+        now = materialise(_step(points, now), "mcd")
+        if step == 1:
+            best = now.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("b")).select("grp", "b.start")
+            now = materialise(now.join(best, ["grp", "start"]), "mcd-best")
+        elif step > 1 and not now.where(F.col("det") < F.col("was") - STILL / 2).limit(1).count():
+            break
+    return now.select("grp", "n", *MIDDLE, *SPREAD)
+
+
+def _mixed(own: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """Moments of ``own`` mixed with those of the wider group that ``key`` names (``wide``, by its ``grp``): means with the
+    weights n and :data:`MEAN_PRIOR`, covariances with the rows of the subset beyond one a statistic, and :data:`PRIOR`."""
+    up = wide.select(F.col("grp").alias(key), *[F.col(c).alias(f"w_{c}") for c in MIDDLE + SPREAD])
+    free = F.greatest(F.ceil(F.col("n") * SHARE) - P, F.lit(0))
+    blend = lambda c, n, prior: ((n * F.col(c) + prior * F.col(f"w_{c}")) / (n + prior)).alias(c)
+    both = own.join(up, key)
+    return both.select("grp", "n", *[blend(m, F.col("n"), MEAN_PRIOR) for m in MIDDLE], *[blend(c, free, PRIOR) for c in SPREAD])
+
+
+def mcd_estimates(points: DataFrame) -> DataFrame:
+    """``(own, m0.., l00, ..)`` of every language-source group of ``points(own, lang, salt, x0..)``.
+
+    Each row takes part in three groups: its own, its language's and that of all rows."""
+    levels = F.explode(F.array(F.concat(F.lit("group "), "own"), F.concat(F.lit("language "), "spoken"), F.lit("all")))
+    moments = mcd_moments(materialise(points.select(levels.alias("grp"), "salt", *X), "quality-vectors"))
+    parents = materialise(points.select("own", "spoken").distinct(), "quality-groups")
+    every = moments.where("grp = 'all'")
+    spoken = _mixed(moments.where("grp LIKE 'language %'").withColumn("up", F.lit("all")), every, "up")
+    named = parents.select(F.concat(F.lit("group "), "own").alias("grp"), F.concat(F.lit("language "), "spoken").alias("up"), "own")
+    own = moments.where("grp LIKE 'group %'").join(named, "grp")
+    return materialise(_with_factor(_mixed(own, spoken, "up").join(named.select("grp", "own"), "grp"), "own"), "mcd-estimates")
+
+
+def quality_rules(docs: DataFrame, *, alpha: float = 0.04, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)`` of every row.
 
     ``base_failed``: under 50 words, or more than half of them in repeated 3-word windows.
-    ``kept``: false for those, else whether the squared distance is at most ``cutoff``. Language-source groups under ``min_rows``
-    are pooled by language, and languages whose pool is still smaller with each other; if that pool has under ``min_rows`` rows too, its rows are
-    judged by the estimate of all rows of their language, or of all rows where the language has fewer. Only if the whole table has under ``min_rows`` rows
-    that pass the base rules, there is no estimate, and they are kept without a distance. A null language or source is a value like others. Null, empty and blank texts fail the base
-    rules. Null and repeated ids are carried; an empty table gives none."""
-    rows = materialise(base_statistics(docs, id_col, text_col, lang_col, source_col).withColumns({"base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")), "salt": F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"), "own": F.to_json(F.struct("lang", "source"))}), "quality-stats")
-    sizes = rows.where("NOT base_failed").groupBy("own", "lang").agg(F.count("*").alias("n"))
-    alike = Window.partitionBy("lang")
-    sizes = sizes.withColumns({"rest": F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).over(alike), "spoken": F.sum("n").over(alike)})
-    level = F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("rest") >= min_rows, F.to_json(F.struct("lang")))
-    sizes = materialise(sizes.withColumn("level", level), "quality-groups")
-    pool = sizes.agg(F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("pool"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    # the last pool, where it is small, is judged by estimates that rest on the rows of other groups too
-    wide = F.when(F.col("pool") >= min_rows, F.lit("{}")).when(F.col("spoken") >= min_rows, F.concat(F.lit("language "), F.to_json(F.struct("lang")))).when(F.col("total") >= min_rows, F.lit("all"))
-    named = sizes.crossJoin(F.broadcast(pool)).withColumn("grp", F.coalesce("level", wide))
-    borrows = F.col("level").isNull() & (F.col("pool") < min_rows)
-    by_lang = F.max(F.when(borrows & (F.col("spoken") >= min_rows), F.col("grp"))).over(alike)
-    by_all = named.agg(F.max(F.when(borrows & (F.col("grp") == "all"), F.lit("all"))).alias("by_all"))
-    groups = named.crossJoin(F.broadcast(by_all)).select("own", "grp", F.array_compact(F.array(F.when(~borrows, F.col("grp")), by_lang, F.col("by_all"))).alias("trains"))
+    ``kept``: false for those, else whether the squared distance is at most ``4 / alpha``: whatever the distribution of the
+    four statistics, at most a share ``alpha`` of rows of the estimated mean and covariance lies beyond that (Chebyshev's
+    inequality for vectors). Every row that passes the base rules has a distance. A null language or source is a value like
+    others. Null, empty and blank texts fail the base rules. Null and repeated ids are carried, ties and repeated rows are
+    judged each; other columns are ignored; an empty table gives none."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    salt = F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    named = {"base_failed": failed, "salt": salt, "own": F.to_json(F.struct("lang", "source")), "spoken": F.to_json(F.struct("lang"))}
+    rows = materialise(base_statistics(docs, id_col, text_col, lang_col, source_col).withColumns(named), "quality-stats")
     columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    points = materialise(_by_group(rows.where("NOT base_failed"), groups, ["own"]).select(*columns, "grp", "trains", "salt", *_vector()), "quality-points")
-    estimates = mcd_estimates(materialise(points.select(F.explode("trains").alias("grp"), "salt", *X), "quality-vectors"))
-    found = _distance(points.join(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], "left"))
-    judged = found.select(*columns, F.coalesce(F.col("d2") <= cutoff, F.lit(True)).alias("kept"), F.col("d2").alias("distance"))
-    failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return judged.union(failed).withColumnRenamed("id", id_col)
+    points = rows.where("NOT base_failed").select(*columns, "own", "spoken", "salt", *_vector())
+    found = points.join(_salted(mcd_estimates(points)), ["own", "salt"]).withColumn("d2", _distance())
+    judged = found.select(*columns, (F.col("d2") <= P / alpha).alias("kept"), F.col("d2").alias("distance"))
+    lost = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    return judged.union(lost).withColumnRenamed("id", id_col)
 
 
 def op1_quality_rules(spark, sf_dir):
