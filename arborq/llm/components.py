@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialise
+from ._shared import discard, hot_keys, materialise, replicate, spread
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,16 +15,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then follows the label
     once more (pointer jumping), so long chains shorten geometrically and stars end in two
     rounds. Aggregates combine before they shuffle; labels and edges stay distributed; each
-    round's labels are written to the shared folder. Only a count comes to the driver."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")), "labels")
+    round's labels are written to the shared folder. A hub's edges and a large component's label are
+    dealt over several tasks by salt. Only counts come to the driver."""
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = materialise(edges.select("a", "b").union(turned).where("a <> b").distinct(), "edges")
+    hubs = hot_keys(both.groupBy("a").agg(F.count("*").alias("n")), "a", "n")
+    salted = spread(both, hubs, "a", "b")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    labels = materialise(first.select("node", F.least("node", "comp").alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
+        known = replicate(labels.withColumnRenamed("node", "a"), hubs, "a")
+        near = salted.join(known, ["a", "salt"]).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        after = materialise(step.join(jump, "comp").select("node", "was", F.least("comp", "far").alias("comp")), "labels")
+        step = materialise(step, "steps")
+        sizes = step.groupBy("comp").agg(F.count("*").alias("n"))
+        large = hot_keys(sizes, "comp", "n")
+        named = sizes.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp").select("comp", "far")
+        jump = spread(step, large, "comp", "node").join(replicate(named, large, "comp"), ["comp", "salt"])
+        after = materialise(jump.select("node", "was", F.least("comp", "far").alias("comp")), "labels")
         changed = after.where("was <> comp").limit(1).count()
         discard(labels)
+        discard(step)
         labels = after
         if not changed:
             discard(both)

@@ -17,7 +17,9 @@ position), against the smallest member of each of 32, 1024, ... hash classes (ea
 bucket has no more of them), always skipping members that are already in the pivot's component.
 So copies merge after one comparison each, texts that merely share a passage are hardly ever
 compared, and a bucket is finished only when its members form one component or each of them was a
-pivot: no link between members is lost and nothing is capped. Links are confirmed on full sets."""
+pivot: no link between members is lost and nothing is capped. Links are confirmed on full sets. A
+bucket's members, and the pairs of a pivot, are dealt over several tasks by salt, and the few pivots (a
+pivot's set once for each salt) go to all of them."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import MAX_BROADCAST_IDS, discard, materialise, restrict, table
+from ._shared import discard, hot_keys, materialise, replicate, restrict, spread, table
 from ._words import chunks, mix, shingles_of
 from .components import connected_components
 
@@ -74,8 +76,27 @@ def _set_maker(k: int):
     return run
 
 
+def with_set(docs: DataFrame, *, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with ``set``, the digest of each text's shingle set (empty for an empty set)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            digests = []
+            for lo, hi in chunks(batch.column(at)):
+                g, ends = shingles_of(batch.column(at).slice(lo, hi - lo), shingle)
+                raw = memoryview(g)
+                digests += [xxhash.xxh3_128_digest(raw[a:b]) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "set"])
+
+    schema = docs.schema
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("set", "binary"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, half_rows: int = 4, collections: int = 16, seed: int = 4) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept, set`` (a digest; null for an empty set).
 
     Texts are lower-cased in A-Z and cut to words at space and \\t..\\r; a row's set holds its
     distinct ``shingle``-word shingles (fewer words: the whole sequence as one). Two rows are
@@ -84,18 +105,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have an empty set, are linked with nothing and kept. Rows with a
     null id are linked with nothing: ``component_id`` is null, ``kept`` true. Rows that repeat an
-    id count as the same document. Other columns are ignored; an empty table gives none."""
+    id are judged by their own texts under the common id; ``kept`` can be true for several of them. Other columns are ignored; an empty table gives none."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialise(source.mapInArrow(_sketcher(shingle, half_rows, collections, seed), "id long, n long, set binary, keys array<long>"), "sketch")
 
     # one representative for all rows with the same set
     classes = materialise(sketches.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.min("n").alias("n")), "classes")
     halves = classes.select("rep", "n", F.posexplode("keys").alias("pos", "half"))
-    live = halves.groupBy("half").agg(F.count("*").alias("held")).where("held > 1").select("half")
-    sides = halves.join(live, "half").groupBy("rep", "n").agg(*[F.collect_list(F.when(F.col("pos") < collections if left else F.col("pos") >= collections, F.col("half"))).alias(name) for name, left in (("lefts", True), ("rights", False))])
-    rows = materialise(sides.where("size(lefts) > 0 AND size(rights) > 0").select("rep", "n", F.explode("lefts").alias("l"), "rights").select("rep", "n", "l", F.explode("rights").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep", "n"), "tables")
-    shared = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    members = materialise(rows.join(shared, "key"), "members")
+    lefts, rights = (F.collect_list(F.when((F.col("pos") < collections) == left, F.col("half"))).alias(name) for name, left in (("lefts", True), ("rights", False)))
+    sides = _held_twice(halves, "half").groupBy("rep", "n").agg(lefts, rights).where("size(lefts) > 0 AND size(rights) > 0")
+    each = sides.select("rep", "n", F.explode("lefts").alias("l"), "rights").select("rep", "n", "l", F.explode("rights").alias("r"))
+    rows = materialise(each.select(F.xxhash64("l", "r").alias("key"), "rep", "n"), "tables")
+    members = materialise(_held_twice(rows, "key"), "members")
     discard(rows)
 
     reps = materialise(members.select("rep").distinct(), "reps")
@@ -109,7 +130,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names = classes.select("set", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("comp", "rep").alias("component_id"))
     merged = sketches.select("id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(names, "set", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return merged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    return merged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"), "set")
+
+
+def _held_twice(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` stands in two rows at least."""
+    held = materialise(rows.groupBy(key).agg(F.count("*").alias("held")).where("held > 1"), "held")
+    hot = hot_keys(held, key, "held")
+    return spread(rows, hot, key, "rep").join(replicate(held.select(key), hot, key), [key, "salt"]).drop("salt")
 
 
 def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
@@ -124,53 +152,68 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
     return first.select("rep", "n", "alone", F.posexplode(F.slice("own", 1, F.col("room").cast("int")))).select(F.col("col.key").alias("key"), "rep", "n", (F.col("alone") + F.col("pos")).alias("pos"))
 
 
-def _mixed(named: DataFrame) -> DataFrame:
+def _with_salt(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` with a salt that spreads large buckets, the buckets' sizes ``(key, held)``, and the hot keys."""
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("held")), "sizes")
+    hot = hot_keys(sizes, "key", "held")
+    return spread(members, hot, "key", "rep"), sizes, hot
+
+
+def _mixed(named: DataFrame, hot: DataFrame) -> DataFrame:
     """The members of buckets that hold two components or more."""
     keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return named.join(keys, "key", "left_semi")
+    return named.join(replicate(keys, hot, "key"), ["key", "salt"], "left_semi")
 
 
 def _with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose full sets are similar enough. ``a`` is a pivot, which many pairs may share: each pair fetches
+    ``b``'s set first, and then meets ``a``'s, which is sent once for each salt."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = restrict(sets, wanted, 2 * n_pairs, "rep")
+    left, right = (own.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n")
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    met = spread(pairs, hot, "a", "b").join(right, "b").join(replicate(left, hot, "a"), ["a", "salt"])
+    return met.where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
+
+
 def _verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(node, comp)`` of the representatives that are linked with another one."""
     links = labels = done = None
     pivots_per_key = 1
-    members = members.withColumn("pos", F.lit(0))
+    members, sizes, hot = _with_salt(members.withColumn("pos", F.lit(0)))
     while True:
         if labels is None:
             named = members.withColumn("comp", F.col("rep"))
         elif pivots_per_key == PIVOT_STEP:  # from here on, buckets are those of rare shingles
-            left = materialise(_mixed(_with_labels(members, labels)).select("rep").distinct(), "left")
-            n_left = left.count()
-            members = materialise(_rare_tokens(restrict(sets, left, n_left, "rep"), percent), "rare")
-            named = _mixed(_with_labels(members, labels))
+            left = materialise(_mixed(_with_labels(members, labels), hot).select("rep").distinct(), "left")
+            rare = materialise(_rare_tokens(restrict(sets, left, left.count(), "rep"), percent), "rare")
+            members, sizes, hot = _with_salt(rare)
+            named = _mixed(_with_labels(members, labels), hot)
         else:
-            named = _mixed(_with_labels(members, labels))
-        base = materialise(named, "named")
-        sizes = base.groupBy("key").agg(F.count("*").alias("held"))
+            named = _mixed(_with_labels(members, labels), hot)
+        base = materialise(named.join(replicate(sizes, hot, "key"), ["key", "salt"]), "named")
         part = F.when(F.col("held") <= pivots_per_key, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(pivots_per_key)))
-        named = base.join(sizes, "key")
-        pivots = named.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("rep", "comp", "n", "pos"), "rep").alias("p")).select("key", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("rep", "comp", "n", "pos")])
-        possible = f"comp <> p_comp AND 100 * least(n, p_n) >= {percent} * greatest(n, p_n) AND {100 + percent} * least(n - pos, p_n - p_pos) >= {percent} * (n + p_n)"
-        pairs = named.join(pivots, "key").where(possible).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+        chosen = base.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("rep", "comp", "n", "pos"), "rep").alias("p"))
+        pivots = chosen.select("key", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("rep", "comp", "n", "pos")])
+        alike = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
+        room = f"{100 + percent} * least(n - pos, p_n - p_pos) >= {percent} * (n + p_n)"
+        met = base.join(replicate(pivots, hot, "key"), ["key", "salt"]).where(f"comp <> p_comp AND {alike} AND {room}")
+        pairs = met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         n_pairs = pairs.count()
         if n_pairs:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            own = restrict(sets, wanted, 2 * n_pairs, "rep")
-            left, right = (own.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-            both = F.size(F.array_intersect("items_a", "items_b"))
-            checked = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
-            found = materialise(checked, "found")
+            found = materialise(_confirmed(pairs, sets, percent, n_pairs), "found")
             links = found if links is None else links.union(found)
         if labels is None or n_pairs and found.limit(1).count():
             labels = connected_components(links if links is not None else pairs)
-        open_buckets = pivots_per_key == 1 or sizes.where(F.col("held") > pivots_per_key).limit(1).count()
+        open_buckets = pivots_per_key == 1 or base.where(F.col("held") > pivots_per_key).limit(1).count()
         done = pairs if done is None else done.union(pairs)
         discard(base)
         if not open_buckets:
@@ -180,4 +223,4 @@ def _verified_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def op4_near_dup(spark, sf_dir):
     """Near duplicates of ``documents``: 4-word shingles, similarity 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("set")
