@@ -8,7 +8,8 @@ own gaps included. The plan is made of blocks ("so many sequences with these len
 depends on the lengths that occur and not on the number of documents.
 
 Each piece then finds its place from its length and its rank among the pieces of that length; ranks
-come from counts of each partition, so no length, however common, meets in one task."""
+come from counts of each partition, so no length, however common, meets in one task. These counts are one row a
+partition and join the pieces by it: broadcast up to ``MAX_BROADCAST_PARTS`` partitions, by shuffle beyond."""
 
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ from ._words import chunks
 
 #: Classes of lengths for the fit.
 CLASSES = 128
+#: Counts of so many partitions are broadcast at most (8 bytes a length: 34 MB for 2048 tokens); those of more join by shuffle.
+MAX_BROADCAST_PARTS = 2048
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
@@ -205,6 +208,24 @@ def _placer(places):
     return run
 
 
+def _before(counts: DataFrame, seq_len: int) -> DataFrame:
+    """``(part, before)``: for each partition, by length, how many pieces of that length the partitions before it hold."""
+    so_far = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    own = counts.select("part", F.struct(F.col("length").cast("int").alias("length"), so_far.alias("k")).alias("e"))
+
+    def dense(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, seq_len + 1), np.int64)
+            for row, entries in zip(out, batch.column(1).to_pylist(), strict=True):
+                for e in entries:
+                    row[e["length"]] = e["k"]
+            at = np.arange(batch.num_rows + 1, dtype=np.int32) * (seq_len + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(out.ravel()))], ["part", "before"])
+
+    lists = own.groupBy("part").agg(F.collect_list("e").alias("own"))  # at most seq_len entries
+    return materialise(lists.mapInArrow(dense, "part long, before array<long>"), "before")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -226,8 +247,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, seq_len: int = 2048,
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most seq_len rows
         hist[r["length"]] = r["n"]
     places = _places(plan(hist))
-    before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("before") + F.col("nth")).alias("rank"))
+    before = _before(counts, seq_len)
+    joined = pieces.join(F.broadcast(before) if before.count() <= MAX_BROADCAST_PARTS else before, "part")
+    rank = (F.get("before", F.col("length").cast("int")) + F.col("nth")).alias("rank")
+    ranked = joined.select("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, rank)
     out_schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     return ranked.mapInArrow(_placer(places), out_schema).withColumnRenamed("id", id_col)
 
