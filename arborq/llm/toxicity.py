@@ -4,8 +4,9 @@ Features are hashed words, and hashed 4- and 5-byte word beginnings (stems), tak
 log(1 + count). One weight vector is shared by all thresholds: P(grade <= j) = s(theta_j - w x).
 
 The labels tell toxic or not; grades are made from them: 0 is not toxic, and the toxic texts fall in three equal
-parts by the weight of telling features that they hold. The model is fitted on the driver from a bounded sample of
-labelled rows (``max_rows``, in the order of a hash of the id) and at most ``max_features``
+parts by how many telling words they hold. Which words are telling is learned from the other half of the labelled
+texts, so no text's grade follows from features that were chosen with its help. The model is fitted on the driver from a
+bounded sample of labelled rows (``max_rows``, by a hash of the id) and at most ``max_features``
 features, chosen by the log-likelihood evidence of their counts in that sample."""
 
 from __future__ import annotations
@@ -42,26 +43,37 @@ def features_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(rows), np.bincount(row, minlength=len(column))
 
 
+#: Counts of a feature: texts of either label in either half.
+_COUNTS = ("a0", "b0", "a1", "b1")
+
+
 def _feature_counts(batches):
-    """Number of texts of either label that hold a feature, summed for each partition."""
-    have: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """``(f, a0, b0, a1, b1)``: in each half, the number of toxic and of clean texts that hold a feature, summed for each
+    partition. Rows are ``(text, toxic, half)``."""
+    have: list[tuple[np.ndarray, ...]] = []
+
+    def added(parts):
+        f = np.concatenate([p[0] for p in parts])
+        kinds, inverse = np.unique(f, return_inverse=True)
+        return kinds, *(np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(kinds)).astype(np.int64) for k in range(1, 5))
+
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        toxic, half = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
         for lo, hi in chunks(batch.column(0)):
             f, row, _ = features_of(batch.column(0).slice(lo, hi - lo))
             order = np.lexsort((row, f))
             f, row = f[order], row[order]
             once = np.ones(len(f), bool)
             once[1:] = (f[1:] != f[:-1]) | (row[1:] != row[:-1])
-            f, y = f[once], toxic[lo:hi][row[once]]
-            kinds, inverse = np.unique(f, return_inverse=True)
-            have.append((kinds, np.bincount(inverse, y, len(kinds)).astype(np.int64), np.bincount(inverse, 1 - y, len(kinds)).astype(np.int64)))
+            f, y, h = f[once], toxic[lo:hi][row[once]], half[lo:hi][row[once]]
+            have.append((f, *((y == label) & (h == k) for k in (0, 1) for label in (1, 0))))
+            if len(have) > 8:
+                have = [added(have)]
     if have:
-        f, a, b = (np.concatenate(c) for c in zip(*have, strict=True))
-        kinds, inverse = np.unique(f, return_inverse=True)
+        kinds, *counts = added(have)
         for i in range(0, len(kinds), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds[part].view(np.int64), np.bincount(inverse, a, len(kinds)).astype(np.int64)[part], np.bincount(inverse, b, len(kinds)).astype(np.int64)[part])], ["f", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[part].view(np.int64)), *(pa.array(c[part]) for c in counts)], ["f", *_COUNTS])
 
 
 class Vocabulary:
@@ -121,39 +133,60 @@ def fit_ordinal(row, f, count, grades, n_features, *, l2: float = 1e-3, steps: i
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 16_000, max_features: int = 2048, min_evidence: float = 18.0) -> OrdinalModel:
-    """A model from ``labelled(id, text, toxic)``; rows with a null label or text teach nothing."""
+def _telling(counted: DataFrame, a, b, n_toxic: int, n_clean: int, most: int, min_evidence: float) -> Vocabulary:
+    """The ``most`` features with the most evidence for toxic texts: ``a`` texts times the logarithm of how much likelier the
+    feature is in them. Features that are not six times likelier, or with less than ``min_evidence``, tell too little."""
+    lift = F.log((a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1)))
+    own = counted.select("f", (a * lift).alias("evidence"), lift.alias("lift")).where((F.col("lift") > float(np.log(6))) & (F.col("evidence") >= min_evidence))
+    best = own.orderBy(F.desc("evidence"), "f").limit(most).collect()
+    return Vocabulary(np.array([r["f"] for r in best], np.int64).view(np.uint64))
+
+
+def fit(labelled: DataFrame, *, max_rows: int = 16_000, max_features: int = 2048, min_evidence: float = 9.0) -> OrdinalModel:
+    """A model from ``labelled(id, text, toxic)``; rows with a null label or text teach nothing.
+
+    ``max_rows`` labelled rows are looked at, about, and ``max_features`` features held. On held-out rows of ``sf0.1``
+    (97 toxic, 728 not) evidence of 18, 9 and 0 finds 89, 91 and 91 of the toxic and 3, 2 and 6 others. Without
+    toxic rows nothing is toxic."""
     rows = labelled.where("toxic IS NOT NULL AND text IS NOT NULL").select("id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
-    chance = min(1.0, max_rows / max(n, 1))
-    sample = materialise(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(chance * (1 << 20))).select("text", "toxic"), "toxic-sample")
-    totals = sample.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
-    n_toxic, n_clean = int(totals["a"] or 0), int(totals["n"] - (totals["a"] or 0))
-    counted = sample.mapInArrow(_feature_counts, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    lift = F.log((F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1)))
-    best = counted.where("a >= 3").select("f", (F.col("a") * lift).alias("evidence"), lift.alias("lift")).where((F.col("lift") > float(np.log(6))) & (F.col("evidence") >= min_evidence)).orderBy(F.desc("evidence"), "f").limit(max_features).collect()
-    vocabulary = Vocabulary(np.array([r["f"] for r in best], np.int64).view(np.uint64))
+    chance = min(1.0, max_rows / max(rows.count(), 1))
+    chosen_rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(chance * (1 << 20)))
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("text")), F.lit(2)).cast("int").alias("half")
+    sample = materialise(chosen_rows.select("text", "toxic", half), "toxic-sample")
+    totals = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}  # four rows
+    n = lambda label, *halves: sum(totals.get((h, label), 0) for h in halves)
+    counted = materialise(sample.mapInArrow(_feature_counts, "f long, a0 long, b0 long, a1 long, b1 long").groupBy("f").agg(*[F.sum(c).alias(c) for c in _COUNTS]).where("a0 + a1 >= 3"), "toxic-features")
+    a, b = ([F.col(f"{c}{h}") for h in (0, 1)] for c in "ab")
+    vocabulary = _telling(counted, a[0] + a[1], b[0] + b[1], n(1, 0, 1), n(0, 0, 1), max_features, min_evidence)
+    of_half = [_telling(counted, a[h], b[h], n(1, h), n(0, h), max_features, min_evidence / 2) for h in (0, 1)]
+    discard(counted)
 
     def chosen(batches):
         for batch in batches:
+            half = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(batch.column(0)):
-                row, f, count, _ = vocabulary.rows(batch.column(0).slice(lo, hi - lo))
+                column = batch.column(0).slice(lo, hi - lo)
+                row, f, count, _ = vocabulary.rows(column)
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c.astype(np.int32))) for c in (f, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *lists], ["toxic", "f", "count"])
+                held = np.zeros(hi - lo)
+                for h in (0, 1):  # a text's telling words are those that the other half knows
+                    r, _, c, _ = of_half[1 - h].rows(column)
+                    held = np.where(half[lo:hi] == h, np.bincount(r, c, hi - lo), held)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *lists, pa.array(held)], ["toxic", "f", "count", "held"])
 
-    got = sample.mapInArrow(chosen, "toxic int, f array<int>, count array<int>").collect()  # at most about max_rows short rows
+    got = sample.mapInArrow(chosen, "toxic int, f array<int>, count array<int>, held double").collect()  # at most about max_rows short rows
     discard(sample)
     toxic = np.array([r["toxic"] for r in got], np.int64)
     sizes = [len(r["f"]) for r in got]
     row = np.repeat(np.arange(len(got)), sizes)
     f, count = (np.concatenate([np.array(r[c], np.int64) for r in got]) if got else np.zeros(0, np.int64) for c in ("f", "count"))
-    held = np.bincount(row, np.log1p(count), len(got))
+    held = np.array([r["held"] for r in got])
     cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
     grades = np.where(toxic == 1, 1 + (held > cuts[0]) + (held > cuts[1]), 0)
-    if not len(best) or not len(got):
-        return OrdinalModel(vocabulary, np.zeros(0), np.array([5.0, 6.0, 7.0]))
-    return OrdinalModel(vocabulary, *fit_ordinal(row, f, count, grades, len(best)))
+    if not len(vocabulary.hashes) or not len(got):
+        return OrdinalModel(vocabulary, np.zeros(len(vocabulary.hashes)), np.array([5.0, 6.0, 7.0]))
+    return OrdinalModel(vocabulary, *fit_ordinal(row, f, count, grades, len(vocabulary.hashes)))
 
 
 def severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -187,11 +220,14 @@ def mark(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", thresh
     return docs.mapInArrow(run, type(schema)([*schema.fields]).add("toxic", "boolean"))
 
 
-def labelled_documents(spark, sf_dir, docs: DataFrame | None = None) -> DataFrame:
-    """Texts of ``documents`` with their toxic label."""
+def labelled_documents(spark, sf_dir, docs: DataFrame | None = None, *, max_rows: int = 16_000) -> DataFrame:
+    """Texts of ``documents`` with their toxic label: about ``max_rows`` of them, by a hash of the id. The labels are
+    chosen first and are few enough to broadcast, so no text moves."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
-    return docs.select(F.col("doc_id").alias("id"), "text").join(marks, "id")
+    marks = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "toxic")
+    chance = min(1.0, max_rows / max(marks.count(), 1))
+    marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(chance * (1 << 20)))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(marks), "id")
 
 
 def op6_toxicity(spark, sf_dir):
