@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, fold, materialise, table
+from ._shared import discard, fold, materialise, restrict, table
 from ._words import chunks, mix, range_hashes, text_bytes, word_bounds
 
 #: Bins of the raw score between -0.5 and 1.5.
@@ -153,10 +153,13 @@ def fit(rows: DataFrame, *, n_features: int = 256, width: float = 4.0, ridge: fl
         rows = np.column_stack([a, b])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_features + 1)), pa.ListArray.from_arrays(pa.array(np.arange(n_features + 2) * (n_features + 2), pa.int32()), pa.array(rows.ravel()))], ["i", "v"])
 
-    # each partition sends n_features + 1 rows; rows of the same number are summed element by element
-    added = F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0.0), n_features + 2), lambda t, v: F.zip_with(t, v, lambda x, y: x + y))
-    partial = fit_rows.select("x", F.col("y").cast("int")).mapInArrow(sums, "i long, v array<double>").withColumn("part", F.spark_partition_id() % 64)
-    total = partial.groupBy("i", "part").agg(added.alias("v")).groupBy("i").agg(added.alias("v")).orderBy("i").collect()
+    # each partition sends n_features + 1 rows; rows of the same number are summed element by element, in the order of their
+    # partitions, so that a run on the same partitions gives the same bits
+    zero, plus = F.array_repeat(F.lit(0.0), n_features + 2), lambda t, v: F.zip_with(t, v, lambda x, y: x + y)
+    added = F.aggregate(F.sort_array(F.collect_list(F.struct("k", "v"))), zero, lambda t, e: plus(t, e["v"]))
+    partial = fit_rows.select("x", F.col("y").cast("int")).mapInArrow(sums, "i long, v array<double>").withColumn("k", F.spark_partition_id())
+    some = partial.groupBy("i", F.floor(F.col("k") / 64).cast("int").alias("k0")).agg(added.alias("v")).withColumnRenamed("k0", "k")
+    total = some.groupBy("i").agg(added.alias("v")).orderBy("i").collect()
     system = np.array([r["v"] for r in total])
     a, b = system[:, :-1], system[:, -1]
     model.weights = np.linalg.solve(a + ridge * moments["n"] / n_features * np.eye(n_features + 1), b)
@@ -183,32 +186,44 @@ def fit(rows: DataFrame, *, n_features: int = 256, width: float = 4.0, ridge: fl
     return model
 
 
-def quality(stats: DataFrame, model: FourierModel, *, threshold: float = 0.3) -> DataFrame:
-    """``(id, score, predicted)`` of every row of ``stats(id, x)``; score from 0 to 1, 1 for label 1."""
+def trained(docs: DataFrame, marks: DataFrame) -> FourierModel:
+    """A model from ``docs(doc_id, text)`` and ``marks(id, y)``: rows of crc32 fold 0 (modulo 5) teach nothing, fold 1
+    calibrates. Only the labelled rows' statistics are computed; where the labels' ids are few enough to broadcast, no text moves."""
+    marks = marks.where("y IS NOT NULL").withColumn("part", fold(F.col("id"), 5)).where("part <> 0")
+    ids = marks.select("id").distinct()
+    known = restrict(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ids.count(), "id")
+    stats = text_statistics(known, id_col="id")
+    rows = materialise(stats.join(marks, "id").select("x", "y", (F.col("part") == 1).alias("calibrate")), "quality-rows")
+    model = fit(rows)
+    discard(rows)
+    return model
 
-    def run(batches):
-        for batch in batches:
-            score = model.score(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    return stats.mapInArrow(run, "id long, score double, predicted int")
+def labels(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y"))
 
 
-def trained(stats: DataFrame, marks: DataFrame) -> FourierModel:
-    """A model from statistics and ``marks(id, y)``: rows of crc32 fold 0 (modulo 5) teach nothing, fold 1 calibrates."""
-    rows = materialise(stats.join(marks.where("y IS NOT NULL"), "id").withColumn("part", fold(F.col("id"), 5)).where("part <> 0").select("x", "y", (F.col("part") == 1).alias("calibrate")), "quality-rows")
-    model = fit(rows)
-    discard(rows)
-    return model
+def mark(docs: DataFrame, model: FourierModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with the columns ``score`` and ``predicted``, without moving a row. Null texts score as empty ones."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            parts = [model.score(statistics(column.slice(lo, hi - lo))) for lo, hi in chunks(column)]
+            score = np.concatenate(parts) if parts else np.zeros(0)
+            more = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "predicted"])
+
+    schema = docs.schema
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double").add("predicted", "integer"))
 
 
 def score_documents(spark, sf_dir, docs: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``. Null texts score as empty
     ones; null ids are carried (and never held out); repeated rows are scored each."""
-    stats = materialise(text_statistics(docs), "statistics")
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    out = quality(stats, trained(stats, marks), threshold=threshold)
-    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    out = mark(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), trained(docs, labels(spark, sf_dir)), threshold=threshold)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_quality_model(spark, sf_dir):
