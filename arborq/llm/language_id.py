@@ -28,24 +28,35 @@ def plain(text: str) -> str:
 
 
 def dictionaries(docs: DataFrame, *, dict_bytes: int = 1 << 16, per_text: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content of each non-null language of ``docs``.
-
-    Texts are taken in the order of a hash of their ids, at most ``per_text`` characters of each, until there are
-    ``dict_bytes`` bytes. Counts by language tell the share of rows to look at, so that no language's rows
-    meet in one task. Languages come in falling order of their counts."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    """Raw dictionary content of each non-null language of ``docs``: ``dict_bytes`` bytes, or all there is.
+
+    Texts are taken in the order of a hash of their ids, of each a slice of ``per_text`` characters at a place that
+    another hash gives, anywhere in the text, until there are ``dict_bytes`` bytes. Counts by language tell the share of rows to
+    look at, so that no language's rows meet in one task; it is doubled where texts were too short. Languages come in
+    falling order of their counts."""
+    room = F.greatest(F.length(text_col) - per_text + 1, F.lit(1))
+    piece = F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit("place"), F.col(id_col)), room) + 1).cast("int"), F.lit(per_text))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), piece.alias("text"))
     by_count = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
-    if not by_count:
-        return {}
-    most = 16 * (dict_bytes // per_text + 1)  # candidates for each language, about: short texts need more
-    # the languages' bounds go into the scan as a literal: no text moves before it is chosen
-    bound = F.create_map(*[F.lit(x) for r in by_count for x in (r["lang"], int(min(1.0, most / r["n"]) * (1 << 30)))])
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(bound, F.col("lang"))).select("lang", "h", F.substring("text", 1, per_text).alias("text"))
-    taken = near.withColumn("before", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))).where(f"coalesce(before, 0) < {dict_bytes}")
-    out: dict[str, list[str]] = {r["lang"]: [] for r in by_count}
-    for r in taken.orderBy("lang", "h", "text").collect():  # about dict_bytes for each language
-        out[r["lang"]].append(plain(r["text"]))
-    return {lang: " ".join(texts).encode()[:dict_bytes] for lang, texts in out.items()}
+    out = {r["lang"]: b"" for r in by_count}
+    todo, most = {r["lang"]: r["n"] for r in by_count}, 4 * (dict_bytes // per_text + 1)
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
+    while todo:
+        # the languages' bounds go into the scan as a literal: no text moves before it is chosen
+        share = {lang: min(1.0, most / n) for lang, n in todo.items()}
+        bound = F.create_map(*[F.lit(x) for lang in todo for x in (lang, int(share[lang] * (1 << 30)))])
+        near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(bound, F.col("lang")))
+        taken = near.withColumn("before", before).where(f"coalesce(before, 0) < {dict_bytes}")
+        texts: dict[str, list[str]] = {lang: [] for lang in todo}
+        for r in taken.orderBy("lang", "h", "text").collect():  # about dict_bytes for each language
+            texts[r["lang"]].append(plain(r["text"]))
+        for lang, parts in texts.items():
+            raw = " ".join(parts).encode()[:dict_bytes]
+            if len(raw) == dict_bytes or share[lang] == 1.0:
+                out[lang] = raw
+                del todo[lang]
+        most *= 4
+    return out
 
 
 class CompressionClassifier:
