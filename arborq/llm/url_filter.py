@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import hot_keys, materialise, replicate, spread, table
 
 #: 64 bytes each: a filter holds 4 MB at most. A longer list only lets more URLs through to the exact join.
 MAX_BLOCKS = 1 << 16
@@ -20,7 +20,8 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path) of the query's rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: The query's list: canonical URLs of ``pages`` whose host has one of these labels.
+#: The query's list: canonical URLs of ``pages`` whose host has one of these labels, and of pages that only repeat an
+#: article which a page of a smaller id holds.
 LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -69,7 +70,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, *, id_col: str
         verdict = F.when(fits, kind) if verdict is None else verdict.when(fits, kind)
     rows = rows.withColumns({"rule": rule if rule is not None else F.lit(None).cast("string"), "ruled": verdict if verdict is not None else F.lit(None).cast("string"), "canon": canonical(F.col("host"), F.col("path"))})
 
-    listed = listed.where("url IS NOT NULL AND url <> ''").select("url").distinct()
+    listed = materialise(listed.where("url IS NOT NULL AND url <> ''").select("url").distinct(), "listed")
     blocks = max(1, min(MAX_BLOCKS, -(-listed.count() * BITS_PER_URL // 512)))
     bloom = blocked_bloom(listed, blocks)
     probed = rows.withColumn("block", _block(F.col("canon"), blocks)).join(F.broadcast(bloom), "block", "left")
@@ -83,9 +84,23 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, *, id_col: str
     return clear.union(hits.select("id", "host", "path", "rule", F.coalesce("hit", F.lit("allow")))).withColumnRenamed("id", id_col)
 
 
+def copied_pages(pages: DataFrame) -> DataFrame:
+    """``(url)``: canonical URLs of the pages whose article (what stands between ``<article>`` and the last ``</article>``)
+    a page of a smaller id holds too. Articles are compared by a 128-bit digest; one that very many pages hold is dealt over several tasks."""
+    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rows = pages.where("page_id IS NOT NULL").select("page_id", canonical(host, path).alias("url"), article.alias("article"))
+    rows = rows.where("article <> ''").select("page_id", "url", F.md5("article").alias("article"))
+    first = rows.groupBy("article").agg(F.count("*").alias("held"), F.min("page_id").alias("first")).where("held > 1")
+    hot = hot_keys(first, "article", "held")
+    met = spread(rows, hot, "article", "page_id").join(replicate(first.select("article", "first"), hot, "article"), ["article", "salt"])
+    return met.where("page_id > first").select("url")
+
+
 def listed_pages(pages: DataFrame) -> DataFrame:
     host = host_of(F.col("url"))
-    return pages.where(F.arrays_overlap(F.split(host, r"\."), F.lit(LISTED_LABELS))).select(canonical(host, path_of(F.col("url"))).alias("url"))
+    own = pages.where(F.arrays_overlap(F.split(host, r"\."), F.lit(LISTED_LABELS)))
+    return own.select(canonical(host, path_of(F.col("url"))).alias("url")).union(copied_pages(pages))
 
 
 def op5_url_filter(spark, sf_dir):
@@ -98,13 +113,15 @@ OP5_SQL = rf"""
 WITH p AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         nullif(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS article
   FROM pages
 ), c AS (
   SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon FROM p
 ), listed AS (
   SELECT DISTINCT canon FROM c
-  WHERE canon <> '' AND list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])
+  WHERE canon <> '' AND (list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])
+    OR page_id > (SELECT min(d.page_id) FROM p d WHERE d.article = c.article))
 ), r AS (
   SELECT page_id, host, path, canon,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
