@@ -9,38 +9,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborq.llm import near_dup, packing, pii, quality_model, toxicity
-from arborq.llm._shared import materialise, table
+from arborq.llm._shared import MAX_BROADCAST_IDS, materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id a verdict keeps (``verdicts(doc_id, keep)``). A row with a null id is kept, since no
-    verdict can be told apart for it; ids that repeat are kept if one of their verdicts says so."""
-    kept = verdicts.where("keep AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.union(docs.where("doc_id IS NULL")).select(*COLUMNS)
-
-
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity model, fitted to the labelled ones among ``docs``, doesn't call them toxic. Null and
-    empty texts are kept."""
+    empty texts are kept; every row is judged by its own text, whatever its id; an empty table stays empty."""
     model = toxicity.fit(toxicity.labelled_documents(spark, sf_dir, docs))
     marked = toxicity.mark(docs.select(*COLUMNS), model)
     return marked.where("NOT toxic").select(*COLUMNS)
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a calibrated quality score of 0.3 or more; the model learns from the labelled ones among ``docs``."""
-    scored = materialise(quality_model.score_documents(spark, sf_dir, docs).select("doc_id", (F.col("predicted") == 1).alias("keep")), "quality-verdicts")
-    return _keep(docs, scored)
+    """Documents with a calibrated quality score of 0.3 or more; the model learns from the labelled ones among ``docs``. Every
+    row is judged by its own text, whatever its id, and null texts as empty ones; an empty table stays empty."""
+    model = quality_model.trained(docs, quality_model.labels(spark, sf_dir))
+    return quality_model.mark(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by 5-word shingles at a similarity of 0.8; rows that repeat an id stay once."""
-    found = near_dup.near_duplicates(docs)
-    kept = _keep(docs, found.select("doc_id", F.col("kept").alias("keep")))
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    """One document, that of the smallest id, of each group linked by 5-word shingles at a similarity of 0.8.
+
+    Rows with a null id and rows without words are kept. Where rows repeat an id, each is judged by its own text; of those kept
+    with equal shingle sets the smallest by text, language, source and length stays. Ids that go are broadcast where they are
+    few enough, so that no text moves; else the texts are joined with them once."""
+    rows = docs.select(*COLUMNS)
+    found = materialise(near_dup.near_duplicates(docs).where("doc_id IS NOT NULL"), "near-verdicts")
+    again = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    gone = found.where("NOT kept").select("doc_id").union(again).distinct()
+    n_gone, n_again = gone.count(), again.count()
+    kept = rows.join(F.broadcast(gone) if n_gone <= MAX_BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+    if not n_again:
+        return kept
+    repeated = rows.join(F.broadcast(again) if n_again <= MAX_BROADCAST_IDS else again, "doc_id", "left_semi")
+    verdicts = found.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.coalesce("set", F.lit(b"")).alias("set")).distinct()
+    first = near_dup.with_set(repeated.select(*COLUMNS)).groupBy("doc_id", "set").agg(F.min(F.struct(*COLUMNS[1:])).alias("r"))
+    return kept.union(first.join(verdicts, ["doc_id", "set"], "left_semi").select("doc_id", "r.*").select(*COLUMNS))
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
