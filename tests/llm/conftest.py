@@ -22,6 +22,6 @@ def empty(spark, small, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     for name in ("documents", "labels"):
         spark.read.parquet(f"{small}/{name}.parquet").where("false").write.parquet(f"{folder}/{name}.parquet")
-    spark.createDataFrame([], "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     return folder

@@ -141,6 +141,8 @@ def test_neighbours_recall():
 class Marked:
     """Decodes runs of x and @ as emails, each window for itself."""
 
+    longest = 1000
+
     def decode(self, chars):
         hit = (chars == 120) | (chars == 64)
         return np.where(hit, np.where(np.pad(hit[:, :-1], ((0, 0), (1, 0))), 2, 1), 0)
