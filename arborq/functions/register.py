@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .checks import judge, verdict_of
 from .scanner import scan
 
 
 def document_json(source: bytes | str | None) -> str | None:
     """A well-formed document as JSON: ``{"xmlDecl", "prologMisc", "root", "epilogMisc"}`` with elements as
-    ``{"name", "attrs", "contents"}``; fields that are empty are left out. Null for others."""
-    s = scan(source)
-    if s.verdict:
+    ``{"name", "attrs", "contents"}``; fields that are empty are left out. Null for others, and for those nested too deeply to be
+    written."""
+    s, _, found = judge(source)
+    if found:
         return None
     items: dict[int, dict] = {}
     out: dict = {"prologMisc": [], "epilogMisc": []}
@@ -35,7 +37,10 @@ def document_json(source: bytes | str | None) -> str | None:
             out["root"] = item
         else:
             out["prologMisc" if region == "prolog" else "epilogMisc"].append(wrapped)
-    return json.dumps(({"xmlDecl": decl} if decl else {}) | {k: v for k, v in out.items() if v}, ensure_ascii=False)
+    try:
+        return json.dumps(({"xmlDecl": decl} if decl else {}) | {k: v for k, v in out.items() if v}, ensure_ascii=False)
+    except RecursionError:
+        return None
 
 
 class XmlNodes:
@@ -47,18 +52,23 @@ class XmlNodes:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``xml_scan_verdict(source)``, ``xml_json(source)`` and the table function ``xml_nodes(source)`` known to SQL.
-    The scan's verdict leaves out namespaces and validity, which need the tables of a corpus."""
+    """Makes ``xml_verdict(source)``, ``xml_validity(source)``, ``xml_json(source)`` and the table function
+    ``xml_nodes(source)`` known to SQL."""
+
+    @F.pandas_udf("string")
+    def xml_verdict(source: pd.Series) -> pd.Series:
+        return source.map(lambda s: verdict_of(*judge(s)[::2], False)[0])
 
     @F.pandas_udf("string")
-    def xml_scan_verdict(source: pd.Series) -> pd.Series:
-        return source.map(lambda s: scan(s).verdict or "WELL_FORMED")
+    def xml_validity(source: pd.Series) -> pd.Series:
+        return source.map(lambda s: verdict_of(*judge(s, True)[::2], True)[0])
 
     @F.pandas_udf("string")
     def xml_json(source: pd.Series) -> pd.Series:
         return source.map(document_json)
 
-    spark.udf.register("xml_scan_verdict", xml_scan_verdict)
+    spark.udf.register("xml_verdict", xml_verdict)
+    spark.udf.register("xml_validity", xml_validity)
     spark.udf.register("xml_json", xml_json)
     nodes = F.udtf(XmlNodes, returnType="node_id int, end_id int, parent_id int, depth int, sib_pos int, region string, kind string, name string, text string")
     spark.udtf.register("xml_nodes", nodes)

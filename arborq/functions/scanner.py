@@ -1,16 +1,17 @@
 """The one Python pass over a document: bytes -> node rows, declaration rows and the first scan error.
 
-Pure Python, without Spark and without recursion over elements; everything that relates rows to each other
-(namespaces, validity, projection) is left to DataFrame operations."""
+Pure Python, without Spark and without recursion over elements or entities. Names are resolved, and validity is judged,
+from these rows in the same task (see :mod:`.checks`): a document's rows never leave it to be related to each other."""
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
 from . import chars as C
 
-#: Characters that the entities of one document may expand to; more is rejected (the usual expansion attack).
+#: Characters that the entities of one document may expand to by default; with more it is LIMIT_EXCEEDED.
 MAX_EXPANSION = 5_000_000
 MAX_PE_ROUNDS = 64
 
@@ -20,6 +21,8 @@ _NAME = re.compile(C.NAME)
 _NMTOKEN = re.compile(C.NMTOKEN)
 _ILLEGAL = {False: re.compile(C.ILLEGAL_10), True: re.compile(C.ILLEGAL_11)}
 _REFERENCE = re.compile(f"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|({C.NAME}));")
+_MARKUP = re.compile("[<&]")
+_PIECE = re.compile(f"<!\\[CDATA\\[.*?\\]\\]>|<!--.*?-->|{_REFERENCE.pattern}", re.S)
 _DECL = re.compile(
     "<\\?xml(?:\\s+version\\s*=\\s*(?:'(1\\.[0-9]+)'|\"(1\\.[0-9]+)\"))(?:\\s+encoding\\s*=\\s*(?:'([A-Za-z][A-Za-z0-9._-]*)'|\"([A-Za-z][A-Za-z0-9._-]*)\"))?"
     "(?:\\s+standalone\\s*=\\s*(?:'(yes|no)'|\"(yes|no)\"))?\\s*\\?>".replace("\\s", C.SPACE)
@@ -30,13 +33,18 @@ class Rejected(Exception):
     """The document is not well-formed."""
 
 
+class LimitExceeded(Exception):
+    """The document's entities expand beyond the limit; nothing is said about the rest of it."""
+
+
 class CannotValidate(Exception):
     """Validity can't be judged without what lies outside the document."""
 
 
 @dataclass
 class Scan:
-    """Rows of one document. ``nodes``: (node_id, end_id, parent_id, depth, sib_pos, region, kind, name, text, attrs)."""
+    """Rows of one document. ``nodes``: (node_id, end_id, parent_id, depth, sib_pos, region, kind, name, text, attrs) in
+    pre-order, with ``attrs`` (pos, name, value)."""
 
     version: str = ""
     encoding: str = ""
@@ -51,6 +59,7 @@ class Scan:
     attlists: list = field(default_factory=list)
     entities: list = field(default_factory=list)
     notations: list = field(default_factory=list)
+    dtd: object = None
 
 
 # ---------------------------------------------------------------- input normalisation
@@ -400,22 +409,23 @@ def expand_parameters(body: str) -> str:
 
 
 class Entities:
-    def __init__(self, dtd: DTD | None, v11: bool):
-        self.v11 = v11
+    """The general entities of a DOCTYPE. ``memo`` holds replacement texts, by use in content or in attributes."""
+
+    def __init__(self, dtd: DTD | None, v11: bool, limit: int = MAX_EXPANSION):
+        self.v11, self.limit = v11, limit
         self.table: dict[str, tuple] = {}
         self.lenient = bool(dtd and (dtd.system or dtd.has_pe))
         self.spent = 0
-        self.memo: dict[str, str] = {}
-        for _, name, parameter, value, system, ndata in dtd.entities if dtd else ():
-            if not parameter:
-                self.table.setdefault(name, (value, system, ndata))
+        self.memo: tuple[dict, dict] = ({}, {})
         self.declared_at: dict[str, int] = {}
-        for order, name, parameter, *_ in dtd.entities if dtd else ():
-            if not parameter:
-                self.declared_at.setdefault(name, order)
+        for order, name, parameter, value, system, ndata in dtd.entities if dtd else ():
+            if not parameter and name not in self.table:
+                self.table[name] = value, system, ndata
+                self.declared_at[name] = order
 
     def char(self, m) -> str:
-        code = int(m[1], 16) if m[1] else int(m[2])
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        code = int(digits, 16 if m[1] else 10) if len(digits) <= 7 else -1
         if not C.legal_reference(code, self.v11):
             raise Rejected("illegal character reference")
         return chr(code)
@@ -433,10 +443,8 @@ class Entities:
         if entity and "%" in value:
             raise Rejected("parameter reference in an internal entity value")
 
-    def expand(self, name: str, attribute: bool, open_: tuple = ()) -> str | None:
-        """Replacement text; None where the reference stays as it is (outside or unknown but tolerated)."""
-        if name in open_:
-            raise Rejected(f"entity {name} refers to itself")
+    def _value(self, name: str, attribute: bool) -> str | None:
+        """The literal of an entity; None where a reference to it stays as it is (outside, or unknown but tolerated)."""
         if name not in self.table:
             if self.lenient:
                 return None
@@ -444,35 +452,69 @@ class Entities:
         value, system, ndata = self.table[name]
         if ndata is not None:
             raise Rejected(f"reference to unparsed entity {name}")
-        if system is not None:
-            if attribute:
-                raise Rejected(f"external entity {name} in an attribute")
-            return None
-        if name in self.memo and not attribute:
-            out = self.memo[name]
-        else:
-            parts, at = [], 0
-            for m in re.finditer(f"<!\\[CDATA\\[.*?\\]\\]>|<!--.*?-->|{_REFERENCE.pattern}", value, re.S):
-                parts.append(value[at : m.start()])
-                at = m.end()
-                if m[0][0] == "<":
-                    parts.append(m[0])
-                elif m[3]:
-                    inner = None if m[3] in C.PREDEFINED else self.expand(m[3], attribute, (*open_, name))
-                    parts.append(m[0] if inner is None else inner)
-                else:
-                    c = self.char(m)
-                    parts.append(m[0] if ord(c) < 32 or 0x7F <= ord(c) < 0xA0 or c == "&" else c)
-                if sum(map(len, parts)) > MAX_EXPANSION:
-                    raise Rejected("entities expand too far")
-            out = "".join(parts) + value[at:]
-            if not attribute:
-                self.memo[name] = out
-        self.spent += len(out)
-        if self.spent > MAX_EXPANSION:
-            raise Rejected("entities expand too far")
+        if system is not None and attribute:
+            raise Rejected(f"external entity {name} in an attribute")
+        return value if system is None else None
+
+    def expand(self, name: str, attribute: bool) -> str | None:
+        """Replacement text, with all that it refers to put in; None where the reference stays as it is."""
+        memo = self.memo[attribute]
+        if name not in memo:
+            self._fill(name, attribute, memo)
+        out = memo[name]
+        if out is not None:
+            self._spend(len(out))
         return out
 
+    def _spend(self, size: int):
+        self.spent += size
+        if self.spent > self.limit:
+            raise LimitExceeded("entities expand too far")
+
+    def _fill(self, name: str, attribute: bool, memo: dict):
+        """Replacement texts of an entity and of those that it needs, innermost first."""
+        frames: list[list] = []  # name, literal, place in it, parts, size
+        opened = set()
+
+        def enter(name):
+            value = self._value(name, attribute)
+            if value is None:
+                memo[name] = None
+            else:
+                frames.append([name, value, 0, [], 0])
+                opened.add(name)
+
+        enter(name)
+        while frames:
+            frame = frames[-1]
+            own, value, at, parts, _ = frame
+            m = _PIECE.search(value, at)
+            if m is None:
+                memo[own] = "".join(parts) + value[at:]
+                opened.discard(own)
+                frames.pop()
+                continue
+            if m[0][0] == "<":
+                new = m[0]
+            elif m[3] is None:
+                c = self.char(m)
+                new = m[0] if ord(c) < 32 or 0x7F <= ord(c) < 0xA0 or c == "&" else c
+            elif m[3] in C.PREDEFINED:
+                new = m[0]
+            else:
+                if m[3] in opened:
+                    raise Rejected(f"entity {m[3]} refers to itself")
+                if m[3] not in memo:
+                    enter(m[3])
+                    if m[3] not in memo:
+                        continue  # this reference is met again when the inner text is there
+                new = m[0] if memo[m[3]] is None else memo[m[3]]
+            parts += [value[at : m.start()], new]
+            frame[2] = m.end()
+            frame[4] += m.start() - at + len(new)
+            if frame[4] > self.limit:
+                raise LimitExceeded("entities expand too far")
+
     def attribute(self, raw: str) -> str:
         """Value with references put in and white space as blanks; characters referred to directly stay."""
         out, at = [], 0
@@ -556,7 +598,8 @@ class _Builder:
                         self.add("text", text=inner)
                 continue
             if text[at] != "<":
-                end = min((x for x in (text.find("<", at), text.find("&", at)) if x >= 0), default=len(text))
+                found = _MARKUP.search(text, at)
+                end = found.start() if found else len(text)
                 run = text[at:end]
                 if "]]>" in run:
                     raise Rejected("]]> in character data")
@@ -649,9 +692,9 @@ class _Builder:
             at = end + 1
 
 
-def scan(source: bytes | str | None, validating: bool = False) -> Scan:
+def scan(source: bytes | str | None, validating: bool = False, limit: int = MAX_EXPANSION) -> Scan:
     """Rows and verdict of one document. ``verdict`` is None if nothing is wrong so far; then namespaces and validity follow.
-    A null document is not well-formed."""
+    A null document is not well-formed. No document raises an error."""
     out = Scan()
     try:
         if source is None:
@@ -660,15 +703,46 @@ def scan(source: bytes | str | None, validating: bool = False) -> Scan:
         bad = _ILLEGAL[out.v11].search(text)
         if bad:
             raise Rejected(f"illegal character at {bad.start()}")
-        _document(line_ends(text, out.v11), out, validating)
+        _document(line_ends(text, out.v11), out, validating, limit)
     except Rejected as e:
         out.verdict, out.reason, out.nodes = "NOT_WELL_FORMED", str(e), []
+    except LimitExceeded as e:
+        out.verdict, out.reason, out.nodes = "LIMIT_EXCEEDED", str(e), []
     except CannotValidate as e:
         out.verdict, out.reason = "CANNOT_VALIDATE", str(e)
     return out
 
 
-def _document(text: str, out: Scan, validating: bool):
+#: DOCTYPEs up to so many characters are kept with what was found of them, as documents of one kind share theirs.
+_KEPT_DOCTYPE = 1 << 16
+
+
+def _doctype(body: str, v11: bool, limit: int):
+    """The declarations of a DOCTYPE, its entities and attribute types; raises what is wrong with them."""
+    dtd = DTD(body)
+    _check_declarations(dtd)
+    entities = Entities(dtd, v11, limit)
+    _check_entities(dtd, entities)
+    types: dict = {}
+    for _, element, name, kind, _, _, _ in dtd.attlists:
+        types.setdefault((element, name), kind)
+    return dtd, entities, types
+
+
+@functools.lru_cache(maxsize=64)
+def _kept_doctype(body: str, v11: bool, limit: int):
+    try:
+        return _doctype(body, v11, limit)
+    except (Rejected, LimitExceeded) as e:
+        return type(e), str(e)
+
+
+@functools.lru_cache(maxsize=64)
+def _expanded(body: str) -> DTD:
+    return DTD(expand_parameters(body))
+
+
+def _document(text: str, out: Scan, validating: bool, limit: int):
     at = 0
     if _S.match(text[5:6] or "x") and text.startswith("<?xml"):
         m = _DECL.match(text)
@@ -676,7 +750,7 @@ def _document(text: str, out: Scan, validating: bool):
             raise Rejected("bad XML declaration")
         out.version, out.encoding, out.standalone = (m[i] or m[i + 1] or "" for i in (1, 3, 5))
         at = m.end()
-    builder = _Builder(out, Entities(None, out.v11), {})
+    builder = _Builder(out, Entities(None, out.v11, limit), {})
     dtd = None
     while True:
         at = _OPT_S.match(text, at).end()
@@ -685,12 +759,11 @@ def _document(text: str, out: Scan, validating: bool):
             if dtd is not None or end < 0:
                 raise Rejected("bad DOCTYPE")
             body = text[at + 9 : end]
-            dtd = DTD(body)
-            _check_declarations(dtd, out)
-            builder.entities = Entities(dtd, out.v11)
-            _check_entities(dtd, builder.entities)
-            for _, element, name, kind, _, _, _ in dtd.attlists:
-                builder.types.setdefault((element, name), kind)
+            found = (_kept_doctype if len(body) <= _KEPT_DOCTYPE else _doctype)(body, out.v11, limit)
+            if len(found) == 2:
+                raise found[0](found[1])
+            dtd, builder.entities, builder.types = found
+            builder.entities.spent = 0
             at = end + 1
         elif text.startswith("<!--", at) or text.startswith("<?", at):
             at = builder.misc(text, at, "prolog")
@@ -711,16 +784,17 @@ def _document(text: str, out: Scan, validating: bool):
     if dtd is not None:
         out.root_type, out.external_subset = dtd.root, dtd.system is not None
         if validating and dtd.has_pe and not out.external_subset:
-            dtd = DTD(expand_parameters(body))
+            dtd = _expanded(body)
         _fill(out, dtd)
 
 
 def _fill(out: Scan, dtd: DTD):
+    out.dtd = dtd
     out.elements, out.attlists, out.notations = dtd.elements, dtd.attlists, dtd.notations
     out.entities = [(o, n, s is not None, d) for o, n, p, v, s, d in dtd.entities if not p]
 
 
-def _check_declarations(dtd: DTD, out: Scan):
+def _check_declarations(dtd: DTD):
     for target in dtd.targets:
         if target.lower() == "xml":
             raise Rejected("processing instruction target xml")

@@ -1,70 +1,30 @@
-"""Namespace resolution and its rules, as interval joins within a document."""
+"""Namespace resolution and its rules, as tables; the scan resolves the names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborq.functions import chars as C
-
 from .parse import Corpus
 
-_QNAME = f"^{C.NCNAME}(:{C.NCNAME})?$"
-
-
-def _split(df: DataFrame, empty_local: bool = False) -> DataFrame:
-    """Adds ``prefix`` (empty without one) and ``local``."""
-    colon = F.instr("name", ":")
-    return df.withColumns({"prefix": F.when(colon > 0, F.substring_index("name", ":", 1)).otherwise(""), "local": F.when(colon > 0, F.expr("substring(name, instr(name, ':') + 1)")).otherwise(F.col("name"))})
+_DECLARES = "name = 'xmlns' OR name LIKE 'xmlns:%'"
 
 
 def declarations(corpus: Corpus) -> DataFrame:
     """``(doc_id, node_id, end_id, prefix, uri)``: every xmlns attribute and where it is in scope."""
-    a = corpus.attrs
-    return a.where("name = 'xmlns' OR name LIKE 'xmlns:%'").select("doc_id", "node_id", "end_id", F.expr("substring(name, 7)").alias("prefix"), F.col("value").alias("uri"))
-
-
-def _bound(rows: DataFrame, decls: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``ns_uri``: the nearest declaration of the prefix around the node (null without one)."""
-    d = decls.select("doc_id", F.col("node_id").alias("d_node"), F.col("end_id").alias("d_end"), "prefix", F.col("uri").alias("d_uri"))
-    near = rows.select("doc_id", *keys, "prefix").join(d, ["doc_id", "prefix"]).where("node_id BETWEEN d_node AND d_end").groupBy("doc_id", *keys).agg(F.max_by("d_uri", "d_node").alias("ns_uri"))
-    out = rows.join(near, ["doc_id", *keys], "left")
-    return out.withColumn("ns_uri", F.when(F.col("prefix") == "xml", C.XML_URI).otherwise(F.col("ns_uri")))
+    return corpus.attrs.where(_DECLARES).select("doc_id", "node_id", "end_id", F.expr("substring(name, 7)").alias("prefix"), F.col("value").alias("uri"))
 
 
 def resolve_elements(corpus: Corpus) -> DataFrame:
-    """Element rows with ``prefix, local, ns_uri``; an empty default namespace is none."""
-    rows = _split(corpus.nodes.where("kind = 'element'"))
-    out = _bound(rows, declarations(corpus), ["node_id"])
-    return out.withColumn("ns_uri", F.when((F.col("prefix") == "") & (F.col("ns_uri") == ""), None).otherwise(F.col("ns_uri")))
+    """Element rows with ``prefix, local, ns_uri``: the nearest declaration around them; an empty default namespace is none."""
+    return corpus.nodes.where("kind = 'element'")
 
 
 def resolve_attributes(corpus: Corpus) -> DataFrame:
     """Attribute rows (declarations left out) with ``prefix, local, ns_uri``; without a prefix they are in no namespace."""
-    rows = _split(corpus.attrs.where("name <> 'xmlns' AND name NOT LIKE 'xmlns:%'"))
-    out = _bound(rows.where("prefix <> ''"), declarations(corpus), ["node_id", "pos"])
-    return out.unionByName(rows.where("prefix = ''").withColumn("ns_uri", F.lit(None).cast("string")))
+    return corpus.attrs.where(f"NOT ({_DECLARES})")
 
 
 def namespace_diagnostics(corpus: Corpus) -> DataFrame:
-    """``(doc_id, stage, node_id, ord, verdict, reason)`` of every violation."""
-    say = lambda df, ord_, reason: df.select("doc_id", F.lit(10).alias("stage"), "node_id", F.lit(ord_).alias("ord"), F.lit("NOT_WELL_FORMED").alias("verdict"), reason.alias("reason"))
-    text = lambda what: F.concat(F.lit(what + " "), F.col("name"))
-    decls = declarations(corpus).join(corpus.docs.select("doc_id", "v11"), "doc_id").withColumn("name", F.col("prefix"))
-    reserved = F.col("uri").isin(C.XML_URI, C.XMLNS_URI)
-    elements, attrs = resolve_elements(corpus), resolve_attributes(corpus)
-    free = (F.col("prefix") != "") & (F.coalesce(F.col("ns_uri"), F.lit("")) == "")
-    parts = [
-        say(decls.where((F.col("prefix") == "xmlns") | (F.col("prefix") == "xml") & (F.col("uri") != C.XML_URI) | (F.col("prefix") != "xml") & reserved), 1, text("reserved namespace at prefix")),
-        say(decls.where((F.col("prefix") != "") & (F.col("uri") == "") & ~F.col("v11")), 2, text("prefix undeclared in XML 1.0:")),
-        say(corpus.attrs.where(~F.col("name").rlike(_QNAME)), 3, text("bad attribute name")),
-        say(elements.where(~F.col("name").rlike(_QNAME) | (F.col("prefix") == "xmlns")), 4, text("bad element name")),
-        say(elements.where(free), 5, text("undeclared prefix of element")),
-        say(attrs.where(free), 6, text("undeclared prefix of attribute")),
-        say(attrs.where("prefix <> '' AND ns_uri IS NOT NULL").groupBy("doc_id", "node_id", "ns_uri", "local").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1"), 7, text("attribute twice by its expanded name:")),
-        say(corpus.nodes.where("kind = 'pi' AND instr(name, ':') > 0"), 8, text("colon in instruction target")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``(doc_id, stage, node_id, ord, verdict, reason)`` of every violation of a namespace rule."""
+    return corpus.diagnostics.where("stage = 10")

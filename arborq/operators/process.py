@@ -1,40 +1,56 @@
-"""Verdicts: scan errors, namespace rules and validity, the earliest violation first."""
+"""Verdicts: scan errors, namespace rules and validity, the earliest violation first, decided in the pass that scans."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .namespaces import namespace_diagnostics
-from .parse import Corpus, parse
-from .validity import validity_diagnostics
+from arborq.functions.scanner import MAX_EXPANSION
 
+from .parse import Corpus
 
-def diagnostics(corpus: Corpus, validating: bool = False) -> DataFrame:
-    """``(doc_id, stage, node_id, ord, verdict, reason)``."""
-    none = lambda x: F.lit(x).cast("int")
-    scanned = corpus.docs.where("verdict IS NOT NULL").select("doc_id", F.when(F.col("verdict") == "CANNOT_VALIDATE", 20).otherwise(1).cast("int").alias("stage"), none(-1).alias("node_id"), none(0).alias("ord"), "verdict", "reason")
-    out = scanned.unionByName(namespace_diagnostics(corpus))
-    return out.unionByName(validity_diagnostics(corpus)) if validating else out
 
+def diagnostics(corpus: Corpus) -> DataFrame:
+    """``(doc_id, stage, node_id, ord, verdict, reason)`` of every violation."""
+    return corpus.diagnostics
 
-def verdicts(corpus: Corpus, validating: bool = False) -> DataFrame:
+
+def verdicts(corpus: Corpus) -> DataFrame:
     """``(doc_id, verdict, reason, root)`` of every document: the verdict of its first violation by stage and
     document order, else VALID or WELL_FORMED by mode."""
-    first = diagnostics(corpus, validating).groupBy("doc_id").agg(F.min_by(F.struct("verdict", "reason"), F.struct("stage", "node_id", "ord", "reason")).alias("d"))
+    first = F.get("diagnostics", F.lit(0))
     root = F.get(F.filter("nodes", lambda n: (n["kind"] == "element") & n["parent_id"].isNull()), F.lit(0))["name"]
-    names = corpus.docs.select("doc_id", root.alias("root"))
-    return names.join(first, "doc_id", "left").select("doc_id", F.coalesce("d.verdict", F.lit("VALID" if validating else "WELL_FORMED")).alias("verdict"), F.col("d.reason").alias("reason"), F.when(F.col("d.verdict").isNull(), F.col("root")).alias("root"))
-
-
-def process(df: DataFrame, *, schema=None, validating: bool = False, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``(doc_id, verdict, reason, root)`` of each document. With a schema, documents are not validated against their DTD but projected:
-    VALID or INVALID, whatever the mode. ``root`` is the qualified name of the root element of accepted documents."""
-    if schema is None:
-        return verdicts(parse(df, id_col=id_col, source_col=source_col, validating=validating), validating)
-    from .project import project
-
-    corpus = parse(df, id_col=id_col, source_col=source_col)
-    roots = corpus.nodes.where("kind = 'element' AND parent_id IS NULL").select("doc_id", F.col("name").alias("root"))
-    out = project(corpus, schema).verdicts.join(roots, "doc_id", "left")
-    return out.select("doc_id", "verdict", "reason", F.when(F.col("verdict") == "VALID", F.col("root")).alias("root"))
+    good = "VALID" if corpus.validating else "WELL_FORMED"
+    return corpus.docs.select("doc_id", F.coalesce(first["verdict"], F.lit(good)).alias("verdict"), first["reason"].alias("reason"), F.when(first.isNull(), root).alias("root"))
+
+
+def process(df: DataFrame, *, schema=None, validating: bool = False, id_col: str = "doc_id", source_col: str = "source", keep: list[str] = (), limit: int = MAX_EXPANSION) -> DataFrame:
+    """``(doc_id, verdict, reason, root)`` of each row, and the columns of ``keep``; streams too. With a schema, documents are not
+    validated against their DTD but projected: VALID or INVALID, whatever the mode. ``root`` is the qualified name of
+    the root element of accepted documents. Every row has its own verdict: null and repeated ids are carried. Documents
+    whose entities expand to more than ``limit`` characters are LIMIT_EXCEEDED."""
+    if schema is not None:
+        from .project import project
+
+        return project(df, schema, id_col=id_col, source_col=source_col, keep=keep, limit=limit).verdicts
+    fields = df.schema
+    held = [fields[id_col].dataType, *[fields[c].dataType for c in keep]]
+    out = T.StructType([T.StructField(n, t) for n, t in zip(["doc_id", *keep], held, strict=True)])
+    for name in ("verdict", "reason", "root"):
+        out = out.add(name, "string")
+    rows = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), *keep)
+
+    def run(batches):
+        from arborq.functions.checks import judge, verdict_of
+
+        for batch in batches:
+            found = []
+            for source in batch.column(0).to_pylist():
+                scan, _, violations = judge(source, validating, limit)
+                found.append(verdict_of(scan, violations, validating))
+            own = [pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*batch.schema.names[1:], "verdict", "reason", "root"])
+
+    return rows.mapInArrow(run, out)

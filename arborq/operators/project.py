@@ -1,100 +1,116 @@
-"""Projection of documents into a schema: node rows joined with the schema's small field table."""
+"""Projection of documents into a schema, in the pass that scans them: relations by type, unknown markup and typed values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from arborq.functions.scanner import MAX_EXPANSION
 from arborq.plans.schema import Schema, pascal, snake
 
-from .namespaces import resolve_attributes, resolve_elements
-from .parse import Corpus
-from .tree import gather_text
+from .parse import list_array
 
-_FIELDS = "type string, field string, ordinal int, kind string, target string, repeated boolean, oneof int, wrapper string"
+_PLACED = (
+    "array<struct<node_id:int,end_id:int,parent_id:int,name:string,local:string,type:string,field:string,wrapper:string,"
+    "repeated:boolean,oneof:int,values:map<string,string>>>"
+)
 
 
 def mangled(name, upper: bool):
     """Type name (or, not upper, field name) of an element or attribute, as column functions."""
     parts = F.filter(F.split(name, "[-_ ]|(?<=[a-z0-9])(?=[A-Z])"), lambda w: w != "")
     if upper:
-        return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substr(w, F.lit(2)))), "")
+        capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substr(w, F.lit(2)))
+        return F.array_join(F.transform(parts, capital), "")
     return F.array_join(F.transform(parts, F.lower), "_")
 
 
 class Projection:
-    """``placed``: element rows with their type, the field and wrapper of their parent's type they fill. ``values``:
-    ``(doc_id, node_id, type, field, value)`` of attributes and text. ``unknown``: ``(doc_id, node_id, what)``. ``verdicts``."""
+    """``docs`` has one row a document: ``doc_id`` and kept columns, ``verdict, reason, root``, ``placed`` and ``unknown``
+    (arrays) and ``value``, the typed value as JSON: elements that the schema has once merge into one message, the last
+    attribute or text winning and the last variant of a choice; repeated ones are listed. The other tables are views of it;
+    none of them shuffles."""
 
-    def __init__(self, placed: DataFrame, values: DataFrame, unknown: DataFrame, verdicts: DataFrame):
-        self.placed, self.values, self.unknown, self.verdicts = placed, values, unknown, verdicts
+    def __init__(self, docs: DataFrame, schema: Schema, keep: list[str]):
+        self.docs, self.schema, self.keep = docs, schema, list(keep)
+
+    @property
+    def verdicts(self) -> DataFrame:
+        return self.docs.select("doc_id", *self.keep, "verdict", "reason", "root")
+
+    @property
+    def placed(self) -> DataFrame:
+        """Element rows with their type, and the field and wrapper of their parent's type that they fill."""
+        return self.docs.select("doc_id", F.explode("placed").alias("x")).select("doc_id", "x.*")
+
+    @property
+    def unknown(self) -> DataFrame:
+        return self.docs.select("doc_id", F.explode("unknown").alias("x")).select("doc_id", "x.*")
+
+    @property
+    def values(self) -> DataFrame:
+        """``(doc_id, node_id, type, field, value)`` of attributes and text."""
+        return self.placed.select("doc_id", "node_id", "type", F.explode("values").alias("field", "value"))
 
     def relation(self, type_name: str, fields: list[str]) -> DataFrame:
         """One row for each element of a type: ``doc_id, node_id, parent_id`` and its string fields."""
-        wide = self.values.where(F.col("type") == type_name).groupBy("doc_id", "node_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
-        return self.placed.where(F.col("type") == type_name).select("doc_id", "node_id", "parent_id").join(wide, ["doc_id", "node_id"], "left")
+        rows = self.docs.select("doc_id", F.explode(F.filter("placed", lambda x: x["type"] == type_name)).alias("x"))
+        return rows.select("doc_id", "x.node_id", "x.parent_id", *[F.element_at("x.values", F.lit(f)).alias(f) for f in fields])
+
+    def variant(self) -> Column:
+        """The typed value of each row of ``docs`` as VARIANT."""
+        return F.parse_json("value")
 
-    def merged(self) -> DataFrame:
-        """String values after merging: where a singular field stands more than once in a parent, the last value wins."""
-        up = self.placed.select("doc_id", "node_id", "parent_id", F.col("field").alias("slot"), "repeated")
-        rows = self.values.join(up, ["doc_id", "node_id"])
-        key = F.when(F.col("repeated"), F.col("node_id")).otherwise(F.lit(-1))
-        return rows.groupBy("doc_id", "parent_id", "slot", key.alias("item"), "field").agg(F.max_by("value", "node_id").alias("value"))
+    def typed(self, type_name: str) -> DataFrame:
+        """``(doc_id, message)``: the typed value of accepted documents with a root of this type, as the type's struct. Types
+        that refer to themselves have no struct; their values are read as JSON or VARIANT."""
+        struct = self.schema.struct(type_name)
+        if struct is None:
+            raise ValueError(f"type {type_name} refers to itself")
+        root = F.get("placed", F.lit(0))["type"] == type_name
+        return self.docs.where((F.col("verdict") == "VALID") & root).select("doc_id", F.from_json("value", struct).alias("message"))
 
 
-def project(corpus: Corpus, schema: Schema) -> Projection:
+def project(df: DataFrame, schema: Schema, *, id_col: str = "doc_id", source_col: str = "source", keep: list[str] = (), limit: int = MAX_EXPANSION) -> Projection:
     """Types every element of the well-formed documents by the schema.
 
     Types follow local names, parents before children: an element fills a field of its parent's type whose type is its own, a
-    plain field before a wrapper's variant. Elements with a string field ``text`` and no message field are leaves: their descendant text is the value
-    (if not blank), nothing in them is looked at. Verdict: INVALID for an unknown root type or unknown markup that the schema
-    doesn't tolerate, else VALID; documents that are not well-formed keep their verdict."""
-    spark = corpus.docs.sparkSession
-    fields = F.broadcast(spark.createDataFrame(schema.rows(), _FIELDS))  # the size of the schema
-    leaves = [t for t, own in schema.types.items() if any(f.name == "text" and not f.target and not f.variants for f in own) and not any(f.target or any(v.target for v in f.variants) for f in own)]
-    el = resolve_elements(corpus).withColumn("type", mangled(F.col("local"), True)).select("doc_id", "node_id", "end_id", "parent_id", "name", "local", "ns_uri", "type")
-    known = list(schema.types)
-    parents = el.select("doc_id", F.col("node_id").alias("parent_id"), F.col("type").alias("parent_type"), F.col("name").alias("parent_name"))
-    pick = Window.partitionBy("doc_id", "node_id").orderBy(F.col("wrapper").isNotNull(), "ordinal")
-    slots = fields.where("target IS NOT NULL").select(F.col("type").alias("parent_type"), "field", "ordinal", F.col("target").alias("type"), "repeated", "oneof", "wrapper")
-    placed = el.where("parent_id IS NOT NULL").join(parents, ["doc_id", "parent_id"]).join(slots, ["parent_type", "type"], "left").withColumn("nth", F.row_number().over(pick)).where("nth = 1").drop("nth", "ordinal")
-    roots = el.where("parent_id IS NULL").withColumn("field", F.lit(None).cast("string"))
-    # what lies in a leaf or in markup that is skipped or unknown is not looked at
-    inside_leaf = el.where(F.col("type").isin(leaves)).select("doc_id", F.col("node_id").alias("top"), F.col("end_id").alias("top_end"))
-    missing = placed.where("field IS NULL").select("doc_id", F.col("node_id").alias("top"), F.col("end_id").alias("top_end"))
-    closed = inside_leaf.union(missing)
-    visible = lambda df: df.join(closed, (df.doc_id == closed.doc_id) & (df.node_id > closed.top) & (df.node_id <= closed.top_end), "left_anti")
-    seen = visible(placed)
-    strays = seen.where("field IS NULL")
-    if schema.ns_extensible:
-        strays = strays.where("ns_uri IS NULL")
-    good = seen.where("field IS NOT NULL").select("doc_id", "node_id", "end_id", "parent_id", "name", "local", "type", "field", "repeated", "oneof", "wrapper")
-    good = good.unionByName(roots.where(F.col("type").isin(known)).select("doc_id", "node_id", "end_id", "parent_id", "name", "local", "type", "field"), allowMissingColumns=True)
-
-    attrs = resolve_attributes(corpus).withColumn("field", mangled(F.col("local"), False)).join(good.select("doc_id", "node_id", "type", F.col("name").alias("tag")), ["doc_id", "node_id"])
-    if schema.ns_extensible:
-        attrs = attrs.where("ns_uri IS NULL")
-    texts = fields.where("kind <> 'message' AND wrapper IS NULL AND NOT repeated").select("type", "field", F.lit(True).alias("fits"))
-    matched = attrs.join(texts, ["type", "field"], "left")
-    runs = gather_text(corpus, good.where(F.col("type").isin(leaves))).where(F.trim("text", F.lit(" \t\r\n")) != "")
-    values = matched.where("fits").select("doc_id", "node_id", "type", "field", "value").union(runs.join(good.select("doc_id", "node_id", "type"), ["doc_id", "node_id"]).select("doc_id", "node_id", "type", F.lit("text"), "text"))
-
-    unknown = strays.select("doc_id", "node_id", F.concat_ws(">", "parent_name", "name").alias("what")).union(matched.where("fits IS NULL").select("doc_id", "node_id", F.concat_ws("@", "tag", "name")))
-    bad_root = roots.where(~F.col("type").isin(known) | (F.col("type") != F.lit(schema.root) if schema.root else F.lit(False))).select("doc_id", F.concat(F.lit("no type for root "), F.col("name")).alias("why"))
-    found = unknown.groupBy("doc_id").agg(F.concat(F.lit("unknown markup: "), F.array_join(F.sort_array(F.collect_set("what")), ", ")).alias("why")) if not schema.open else None
-    faults = bad_root if found is None else bad_root.union(found)
-    if schema.pre_validate:
-        faults = faults.union(schema.pre_validate(corpus, el))
-    faults = faults.groupBy("doc_id").agg(F.min("why").alias("why"))
-    from .namespaces import namespace_diagnostics
-
-    broken = namespace_diagnostics(corpus).groupBy("doc_id").agg(F.min("reason").alias("broken"))
-    verdicts = corpus.docs.select("doc_id", "verdict", "reason").join(broken, "doc_id", "left").join(faults, "doc_id", "left").select(
-        "doc_id",
-        F.when(F.col("verdict").isNotNull() | F.col("broken").isNotNull(), "NOT_WELL_FORMED").when(F.col("why").isNotNull(), "INVALID").otherwise("VALID").alias("verdict"),
-        F.coalesce("reason", "broken", "why").alias("reason"),
-    )
-    return Projection(good, values, unknown, verdicts)
+    plain field before a wrapper's variant. Elements with a string field ``text`` and no message field are leaves: their descendant
+    text is the value (if not blank), nothing in them is looked at. Verdict: INVALID for an unknown root type or unknown markup
+    that the schema doesn't tolerate, else VALID; documents that are not well-formed keep their verdict. Null and repeated
+    ids are carried, each row with its own result."""
+    out = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *[T.StructField(c, df.schema[c].dataType) for c in keep]])
+    for name, kind in (("verdict", "string"), ("reason", "string"), ("root", "string"), ("placed", _PLACED), ("unknown", "array<struct<node_id:int,what:string>>"), ("value", "string")):
+        out = out.add(name, T._parse_datatype_string(kind))
+    rows = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), *keep)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from arborq.functions.checks import judge, root_name
+        from arborq.functions.projecting import Layout, Projected, as_json, place
+
+        layout, arrow = Layout(schema), to_arrow_schema(out)
+        kinds = [f.type for f in arrow][-3:]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                heads, placed, unknown, value = [], [], [], []
+                for source in part.column(0).to_pylist():
+                    scan, names, found = judge(source, False, limit)
+                    got = place(scan, names, layout) if not found else Projected()
+                    bad = (found[0][3], found[0][4], None) if found else ("INVALID", got.why, None) if got.why else None
+                    heads.append(bad or ("VALID", None, root_name(scan)))
+                    placed.append(got.placed)
+                    unknown.append(got.unknown)
+                    value.append(as_json(got.value) if got.placed else None)
+                texts = [pa.array(c, pa.string()) for c in zip(*heads, strict=True)]
+                columns = [*part.columns[1:], *texts, list_array(placed, kinds[0]), list_array(unknown, kinds[1]), pa.array(value, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return Projection(rows.mapInArrow(run, out), schema, keep)
 
 
 __all__ = ["Projection", "mangled", "pascal", "project", "snake"]

@@ -1,8 +1,8 @@
-"""Trees as rows: descendant text, canonical form and generation of documents."""
+"""Trees as rows: descendant text, canonical form and generation of documents, all inside a document's row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parse import Corpus
@@ -26,21 +26,17 @@ def escape_attribute(c: Column) -> Column:
     return _as_references(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), _ATTR_CONTROLS)
 
 
-def gather_text(corpus: Corpus, elements: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, node_id, text)``: text and CDATA inside each element (of ``elements``, else all), in order. Null without any."""
-    outer = (elements if elements is not None else corpus.nodes.where("kind = 'element'")).select("doc_id", "node_id", "end_id")
-    runs = corpus.nodes.where("kind IN ('text', 'cdata')").select("doc_id", F.col("node_id").alias("at"), F.col("text").alias("run"))
-    inside = runs.join(outer, "doc_id").where("at > node_id AND at <= end_id")
-    found = inside.groupBy("doc_id", "node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "run"))), lambda x: x["run"]), "").alias("text"))
-    return outer.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left")
+def gather_text(corpus: Corpus, keep=None) -> DataFrame:
+    """``(doc_id, node_id, text)``: text and CDATA inside each element (that ``keep(node struct)`` holds for), in order. Null
+    without any. An element's text is a stretch of its document's character data, so this is linear in what it gives."""
+    wanted = (lambda n: (n["kind"] == "element") & keep(n)) if keep is not None else (lambda n: n["kind"] == "element")
+    return corpus.each(wanted, node_id=lambda n: n["node_id"], text=lambda n: F.when(n["text_len"] > 0, corpus.text_of(n)))
 
 
-def coalesce_text(nodes: DataFrame) -> DataFrame:
-    """``(doc_id, parent_id, node_id, text)``: neighbouring text nodes of a parent as one, empty ones left out (gaps and islands)."""
-    w = Window.partitionBy("doc_id", "parent_id").orderBy("sib_pos")
-    rows = nodes.where("parent_id IS NOT NULL").withColumn("island", F.sum(F.when(F.col("kind") == "text", 0).otherwise(1)).over(w))
-    runs = rows.where("kind = 'text' AND text <> ''").groupBy("doc_id", "parent_id", "island")
-    return runs.agg(F.min("node_id").alias("node_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sib_pos", "text"))), lambda x: x["text"]), "").alias("text")).drop("island")
+def coalesce_text(corpus: Corpus) -> DataFrame:
+    """``(doc_id, parent_id, node_id, text)``: neighbouring text nodes of a parent as one, empty ones left out."""
+    own = {c: (lambda n, c=c: n[c]) for c in ("parent_id", "node_id")}
+    return corpus.each(lambda n: (n["run_len"] > 0) & n["parent_id"].isNotNull(), **own, text=lambda n: corpus.text_of(n, "run_len"))
 
 
 def children(nodes: DataFrame, name: str) -> DataFrame:
@@ -51,20 +47,27 @@ def children(nodes: DataFrame, name: str) -> DataFrame:
 def generate(corpus: Corpus) -> DataFrame:
     """``(doc_id, source)`` of every document that has a root: declaration, prolog, root and epilog.
 
-    Elements without children are written empty. An encoding that was declared becomes UTF-8; the DOCTYPE is not written."""
-    nodes = corpus.nodes
-    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape_attribute(a["value"]), F.lit('"'))), "")
-    leaf = F.col("end_id") == F.col("node_id")
-    begin = (
-        F.when(F.col("kind") == "element", F.concat(F.lit("<"), F.col("name"), attrs, F.when(leaf, "/>").otherwise(">")))
-        .when(F.col("kind") == "text", escape_text(F.col("text")))
-        .when(F.col("kind") == "cdata", F.concat(F.lit("<![CDATA["), F.col("text"), F.lit("]]>")))
-        .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), F.col("text"), F.lit("-->")))
-        .otherwise(F.concat(F.lit("<?"), F.col("name"), F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), F.col("text"))), F.lit("?>")))
-    )
-    starts = nodes.select("doc_id", F.struct(F.col("node_id").alias("at"), F.lit(0).alias("end"), F.lit(0).alias("up"), begin.alias("s")).alias("e"))
-    ends = nodes.where("kind = 'element' AND end_id > node_id").select("doc_id", F.struct(F.col("end_id").alias("at"), F.lit(1).alias("end"), (-F.col("depth")).alias("up"), F.concat(F.lit("</"), F.col("name"), F.lit(">")).alias("s")).alias("e"))
-    body = starts.union(ends).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["s"]), "").alias("body"))
+    Elements without children are written empty. An encoding that was declared becomes UTF-8; the DOCTYPE is not written.
+    Begins and ends of nodes are sorted in the document's own row."""
+
+    def begin(n: Column) -> Column:
+        attrs = F.array_join(F.transform(n["attrs"], lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape_attribute(a["value"]), F.lit('"'))), "")
+        leaf = n["end_id"] == n["node_id"]
+        data = F.when(n["text"] == "", "").otherwise(F.concat(F.lit(" "), n["text"]))
+        return (
+            F.when(n["kind"] == "element", F.concat(F.lit("<"), n["name"], attrs, F.when(leaf, "/>").otherwise(">")))
+            .when(n["kind"] == "text", escape_text(corpus.text_of(n)))
+            .when(n["kind"] == "cdata", F.concat(F.lit("<![CDATA["), corpus.text_of(n), F.lit("]]>")))
+            .when(n["kind"] == "comment", F.concat(F.lit("<!--"), n["text"], F.lit("-->")))
+            .otherwise(F.concat(F.lit("<?"), n["name"], data, F.lit("?>")))
+        )
+
+    event = lambda at, end, up, s: F.struct(at.alias("at"), F.lit(end).alias("end"), up.alias("up"), s.alias("s"))
+    starts = F.transform("nodes", lambda n: event(n["node_id"], 0, F.lit(0), begin(n)))
+    closed = F.filter("nodes", lambda n: (n["kind"] == "element") & (n["end_id"] > n["node_id"]))
+    ends = F.transform(closed, lambda n: event(n["end_id"], 1, -n["depth"], F.concat(F.lit("</"), n["name"], F.lit(">"))))
+    body = F.array_join(F.transform(F.sort_array(F.concat(starts, ends)), lambda e: e["s"]), "")
     declared = lambda name, value: F.when(F.col(name) != "", F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise("")
-    decl = F.when(F.col("version") != "", F.concat(F.lit("<?xml"), declared("version", F.col("version")), declared("encoding", F.lit("UTF-8")), declared("standalone", F.col("standalone")), F.lit("?>"))).otherwise("")
-    return corpus.docs.where("verdict IS NULL").select("doc_id", decl.alias("decl")).join(body, "doc_id").select("doc_id", F.concat("decl", "body").alias("source"))
+    parts = [declared("version", F.col("version")), declared("encoding", F.lit("UTF-8")), declared("standalone", F.col("standalone"))]
+    decl = F.when(F.col("version") != "", F.concat(F.lit("<?xml"), *parts, F.lit("?>"))).otherwise("")
+    return corpus.docs.where("verdict IS NULL AND size(nodes) > 0").select("doc_id", F.concat(decl, body).alias("source"))

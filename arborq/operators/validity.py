@@ -1,108 +1,13 @@
-"""Validity against the internal DTD, as joins and aggregations over node and declaration rows."""
+"""Validity against the internal DTD, as a table; :mod:`arborq.functions.checks` judges it in the scan's pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from arborq.functions import chars as C
+from pyspark.sql import DataFrame
 
 from .parse import Corpus
 
 
-def _words() -> Column:
-    return F.filter(F.split(F.col("value"), "[ \\t\\r\\n]+"), lambda x: x != "")
-
-
-def model_regex(model: Column) -> Column:
-    """Java regular expression over child names, each followed by a blank, for a content model such as ``(a,(b|c)*)``."""
-    return F.concat(F.lit("^(?:"), F.regexp_replace(F.regexp_replace(model, f"({C.NAME})", "(?:\\\\Q$1\\\\E )"), ",", ""), F.lit(")$"))
-
-
-def _first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first declaration of each key binds."""
-    w = Window.partitionBy("doc_id", *keys).orderBy("ord")
-    return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
-
-
 def validity_diagnostics(corpus: Corpus) -> DataFrame:
-    """``(doc_id, stage, node_id, ord, verdict, reason)`` of every violation of a validity constraint."""
-
-    def say(df: DataFrame, stage: int, ord_: int, reason: Column, node: Column | None = None, verdict: str = "INVALID") -> DataFrame:
-        return df.select("doc_id", F.lit(stage).alias("stage"), (node if node is not None else F.lit(0)).cast("int").alias("node_id"), F.lit(ord_).alias("ord"), F.lit(verdict).alias("verdict"), reason.alias("reason"))
-
-    named = lambda what: F.concat(F.lit(what + " "), F.col("name"))
-    node = F.col("node_id")
-    docs = corpus.docs.where("verdict IS NULL")
-    checked = docs.where("root_type IS NOT NULL AND NOT external_subset").select("doc_id")
-    only = lambda df: df.join(checked, "doc_id", "left_semi")
-    nodes, attrs = only(corpus.nodes), only(corpus.attrs)
-    elements, attlists = only(corpus.elements), only(corpus.attlists)
-    element, attlist = _first(elements, ["name"]), _first(attlists, ["element", "name"])
-    entities, notations = only(corpus.entities), only(corpus.notations)
-    unparsed = _first(entities, ["name"]).where("notation IS NOT NULL").select("doc_id", F.col("name").alias("word"))
-    parts = [
-        say(docs.where("root_type IS NULL"), 20, 0, F.lit("no DTD")),
-        say(docs.where("external_subset"), 20, 0, F.lit("external subset"), verdict="CANNOT_VALIDATE"),
-        # declarations
-        say(elements.groupBy("doc_id", "name").count().where("count > 1"), 21, 1, named("element declared twice:")),
-        say(elements.where("kind = 'MIXED'").withColumn("names", F.split(F.regexp_replace("model", "[()*]", ""), "\\|")).where("size(names) > size(array_distinct(names))"), 21, 2, named("name twice in mixed content of")),
-        say(attlist.where("type = 'NOTATION'").select("doc_id", F.explode("allowed").alias("name")).join(notations.select("doc_id", "name"), ["doc_id", "name"], "left_anti"), 21, 3, named("undeclared notation")),
-        say(entities.where("notation IS NOT NULL").select("doc_id", F.col("notation").alias("name")).join(notations.select("doc_id", "name"), ["doc_id", "name"], "left_anti"), 21, 4, named("undeclared notation")),
-        say(attlist.where("type = 'ID'").groupBy("doc_id", "element").agg(F.count("*").alias("n"), F.first("element").alias("name")).where("n > 1"), 21, 5, named("two ID attributes for")),
-        say(attlist.where("type = 'ID' AND default IN ('FIXED', 'DEFAULT')"), 21, 6, named("default for ID attribute")),
-        say(attlist.where("value IS NOT NULL").where(_illegal_value()), 21, 7, named("illegal default of")),
-        # root
-        say(nodes.where("kind = 'element' AND parent_id IS NULL").join(docs.select("doc_id", "root_type"), "doc_id").where("name <> root_type"), 22, 1, named("unexpected root")),
-    ]
-    # elements: declared, content
-    kids = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(
-        F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("node_id", "kind", "name"))), lambda x: x["kind"] == "element"), lambda x: F.concat(x["name"], F.lit(" "))), "").alias("children"),
-        F.max(F.col("kind").isin("element", "text", "cdata")).alias("any"),
-        F.max((F.col("kind") == "cdata") | (F.col("kind") == "text") & F.col("text").rlike("[^ \\t\\r\\n]")).alias("data"),
-    )
-    tags = nodes.where("kind = 'element'").select("doc_id", "node_id", "name")
-    full = tags.join(element.select("doc_id", "name", F.col("kind").alias("content"), "model"), ["doc_id", "name"], "left").join(kids, ["doc_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.lit("")))
-    allowed = F.split(F.regexp_replace("model", "[()*]", ""), "\\|")
-    used = F.filter(F.split("children", " "), lambda x: x != "")
-    parts += [
-        say(full.where("content IS NULL"), 23, 1, named("undeclared element"), node),
-        say(full.where((F.col("content") == "EMPTY") & F.coalesce("any", F.lit(False))), 23, 2, named("content in empty element"), node),
-        say(full.where((F.col("content") == "MIXED") & (F.size(F.array_except(used, allowed)) > 0)), 23, 2, named("element not allowed in"), node),
-        say(full.where((F.col("content") == "CHILDREN") & F.coalesce("data", F.lit(False))), 23, 2, named("character data in"), node),
-        say(full.where(F.col("content") == "CHILDREN").where(~F.rlike("children", model_regex(F.col("model")))), 23, 3, named("content of"), node),
-    ]
-    # attributes
-    typed = attrs.join(attlist.select("doc_id", "element", "name", "type", "allowed", "default", F.col("value").alias("fixed")), ["doc_id", "element", "name"], "left")
-    required = tags.withColumnRenamed("name", "element").join(attlist.where("default = 'REQUIRED'").select("doc_id", "element", "name"), ["doc_id", "element"]).join(attrs.select("doc_id", "node_id", "name"), ["doc_id", "node_id", "name"], "left_anti")
-    fixed = F.when(F.col("type") == "CDATA", F.col("fixed")).otherwise(F.array_join(F.filter(F.split("fixed", "[ \\t\\r\\n]+"), lambda x: x != ""), " "))
-    words = typed.where("type IN ('IDREF', 'IDREFS', 'ENTITY', 'ENTITIES')").select("doc_id", "node_id", "name", "type", F.explode(_words()).alias("word"))
-    ids = typed.where("type = 'ID'").select("doc_id", "node_id", "name", F.col("value").alias("word"))
-    parts += [
-        say(typed.where("type IS NULL"), 23, 4, named("undeclared attribute"), node),
-        say(required, 23, 5, named("required attribute missing:"), node),
-        say(typed.where("default = 'FIXED'").where(F.col("value") != fixed), 23, 6, named("fixed attribute differs:"), node),
-        say(typed.where(F.col("type").isNotNull()).where(_illegal_value()), 23, 7, named("illegal value of"), node),
-        say(ids.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.max("node_id").alias("node_id"), F.first("word").alias("name")).where("n > 1"), 23, 8, named("ID twice:"), node),
-        say(words.where("type LIKE 'IDREF%'").join(ids.select("doc_id", "word"), ["doc_id", "word"], "left_anti").withColumn("name", F.col("word")), 24, 1, named("IDREF without ID:"), node),
-        say(words.where("type LIKE 'ENTIT%'").join(unparsed, ["doc_id", "word"], "left_anti").withColumn("name", F.col("word")), 23, 9, named("no unparsed entity"), node),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _illegal_value() -> Column:
-    """Whether ``value`` breaks the lexical rule of ``type`` (with ``allowed``)."""
-    one = F.array_join(_words(), " ")
-    ncname, nmtoken = f"^{C.NCNAME}$", f"^{C.NMTOKEN}$"
-    bad_word = lambda pattern: (F.size(_words()) == 0) | F.exists(_words(), lambda x: ~x.rlike(pattern))
-    return (
-        F.when(F.col("type").isin("ID", "IDREF", "ENTITY"), ~one.rlike(ncname))
-        .when(F.col("type").isin("IDREFS", "ENTITIES"), bad_word(ncname))
-        .when(F.col("type") == "NMTOKEN", ~one.rlike(nmtoken))
-        .when(F.col("type") == "NMTOKENS", bad_word(nmtoken))
-        .when(F.col("type").isin("NOTATION", "ENUM"), ~F.array_contains("allowed", one))
-        .otherwise(False)
-    )
+    """``(doc_id, stage, node_id, ord, verdict, reason)`` of every violation of a validity constraint; the corpus must have
+    been parsed with ``validating``."""
+    return corpus.diagnostics.where("stage >= 20")

@@ -43,7 +43,9 @@ _XLSX = {
     "fonts": "at_count, {font}", "font": "[b], [i], [sz], [color], [name]", "fills": "{fill}", "fill": "[patternFill]", "patternFill": "at_patternType, [fgColor], [bgColor]", "borders": "{border}", "border": "[left], [right], [top], [bottom]",
     "cellStyleXfs": "{xf}", "cellXfs": "{xf}", "xf": "at_numFmtId, at_fontId, at_fillId, at_borderId, [alignment]", "alignment": "at_horizontal, at_vertical", "cellStyles": "{cellStyle}", "cellStyle": "at_name, at_xfId",
     "table": "at_id, at_name, at_displayName, at_ref, [autoFilter], [tableColumns], [tableStyleInfo]", "autoFilter": "at_ref", "tableColumns": "at_count, {tableColumn}", "tableColumn": "at_id, at_name", "tableStyleInfo": "at_name",
-    "comments": "[authors], [commentList]", "authors": "{author}", "commentList": "{comment}", "comment": "at_ref, at_authorId, [text_]", "calcChain": "{c}", "chartsheet": "[sheetViews], [pageMargins]", "sheetViews": "{sheetView}", "sheetView": "at_workbookViewId", "pageMargins": "at_left, at_right, at_top, at_bottom",
+    "comments": "[authors], [commentList]", "authors": "{author}", "commentList": "{comment}", "comment": "at_ref, at_authorId, [e:text]", "calcChain": "{c}", "chartsheet": "[sheetViews], [pageMargins]", "sheetViews": "{sheetView}", "sheetView": "at_workbookViewId", "pageMargins": "at_left, at_right, at_top, at_bottom",
+    "e:text": "[t], {r}", "r": "[t]",
+    "theme": "at_name, [themeElements]", "themeElements": "[clrScheme], [fontScheme]", "clrScheme": "at_name", "fontScheme": "at_name, [majorFont], [minorFont]", "majorFont": "[latin]", "minorFont": "[latin]", "latin": "at_typeface",
     "sz": "at_val", "name": "at_val", "color": "at_rgb, at_theme", "fgColor": "at_rgb, at_theme", "bgColor": "at_rgb, at_indexed",
 }
 _XLSX_TEXT, _XLSX_EMPTY = "f v t author", "b i left right top bottom wsDr chartSpace"

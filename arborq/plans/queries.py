@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from arborq.operators.namespaces import resolve_elements
 from arborq.operators.parse import parse
-from arborq.operators.process import process, verdicts
+from arborq.operators.process import process
 from arborq.operators.project import mangled, project
 from arborq.operators.rss import rss_item_count, rss_warnings
+from arborq.operators.validity import validity_diagnostics
 from arborq.operators.tree import coalesce_text, escape_attribute, escape_text, gather_text, generate
 from arborq.plans.formats import format_schema
 from arborq.plans.schema import compile_dtd, compile_xsd
-from arborq.sources.packages import clean_path
 
 
 def _t(spark, d, name):
@@ -29,9 +29,11 @@ def m0_nation_roundtrip(spark, d):
     """Nations as XML, parsed, written, parsed again and read back as columns."""
     first = parse(_docs(_t(spark, d, "nation"), "n_nationkey", "concat('<nation id=\"', n_nationkey, '\" region=\"', n_regionkey, '\"><name>', n_name, '</name></nation>')"))
     corpus = parse(generate(first))
-    name = gather_text(corpus, corpus.nodes.where("name = 'name'")).select("doc_id", F.col("text").alias("n_name"))
-    region = corpus.attrs.where("name = 'region'").select("doc_id", F.col("value").cast("int").alias("n_regionkey"))
-    return name.join(region, "doc_id").select(F.col("doc_id").alias("n_nationkey"), "n_name", "n_regionkey")
+    # both values are read from a nation's own row
+    inner = F.get(F.filter("nodes", lambda n: n["name"] == "name"), F.lit(0))
+    outer = F.get(F.filter("nodes", lambda n: n["name"] == "nation"), F.lit(0))
+    region = F.get(F.filter(outer["attrs"], lambda a: a["name"] == "region"), F.lit(0))["value"]
+    return corpus.docs.select(F.col("doc_id").alias("n_nationkey"), corpus.text_of(inner).alias("n_name"), region.cast("int").alias("n_regionkey"))
 
 
 def _verdict(spark, df, key, sql, validating=False):
@@ -103,14 +105,15 @@ def v13_enumeration(spark, d):
 def _customers_by_digit(spark, d):
     """One document for each last digit of the key: its customers, some with the attribute value of the one before."""
     c = _t(spark, d, "customer").withColumn("item", F.expr("concat('<c id=\"c', c_custkey - if(c_custkey % 3 = 0, 10, 0), '\"/>')"))
+    dtd = "<!DOCTYPE n [<!ELEMENT n (c*)><!ELEMENT c EMPTY><!ATTLIST c id ID #REQUIRED>]>"
     rows = c.groupBy((F.col("c_custkey") % 10).alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list("item")), "").alias("items"))
-    return rows.select("doc_id", F.concat(F.lit("<n>"), F.col("items"), F.lit("</n>")).alias("source"))
+    return rows.select("doc_id", F.concat(F.lit(dtd + "<n>"), F.col("items"), F.lit("</n>")).alias("source"))
 
 
 def v9_duplicate_id(spark, d):
-    """Values of an attribute that stand more than once in a document, as ID uniqueness finds them."""
-    a = parse(_customers_by_digit(spark, d)).attrs.where("name = 'id'")
-    return a.groupBy("doc_id", F.col("value").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    """IDs that stand more than once in a document, as validation finds them."""
+    found = validity_diagnostics(parse(_customers_by_digit(spark, d), validating=True)).where("stage = 23 AND ord = 8")
+    return found.select("doc_id", F.expr("substring(reason, 11)").alias("id"))
 
 
 def v10_dangling_idref(spark, d):
@@ -150,13 +153,13 @@ def t4_subtree_text(spark, d):
     """Text below each region of a tree of regions and nations."""
     n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<n>"), x["n_name"], F.lit("</n>"))), "").alias("kids"))
     corpus = parse(n.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("<r>"), F.col("kids"), F.lit("</r>")).alias("source")))
-    return gather_text(corpus, corpus.nodes.where("name = 'r'")).select(F.col("doc_id").alias("regionkey"), "text")
+    return gather_text(corpus, lambda n: n["name"] == "r").select(F.col("doc_id").alias("regionkey"), "text")
 
 
 def t6_coalesce_text(spark, d):
     """Runs of text beside an element, each split by a reference, as one."""
     corpus = parse(_docs(_t(spark, d, "part"), "p_partkey", "concat('<p>a', p_size, '&amp;b<k/>c&lt;', p_size, '</p>')"))
-    return coalesce_text(corpus.nodes).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "|").alias("runs"))
+    return coalesce_text(corpus).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "|").alias("runs"))
 
 
 _CUSTOMER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="customer"><xs:complexType><xs:sequence><xs:element name="name" type="xs:string"/>
@@ -166,22 +169,24 @@ _CUSTOMER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:el
 def p2_projection_flat(spark, d):
     """Customers as XML, projected by an XSD to a flat relation."""
     src = "concat('<customer custKey=\"', c_custkey, '\" segment=\"', c_mktsegment, '\"><name>', c_name, '</name><acctBal>', cast(c_acctbal AS decimal(12,2)), '</acctBal></customer>')"
-    p = project(parse(_docs(_t(spark, d, "customer"), "c_custkey", src)), compile_xsd(_CUSTOMER_XSD))
-    attrs = p.relation("Customer", ["cust_key", "segment"]).select("doc_id", F.col("cust_key").cast("long").alias("c_custkey"), "segment")
-    leaf = lambda t, name: p.relation(t, ["text"]).select("doc_id", F.col("text").alias(name))
-    return attrs.join(leaf("Name", "c_name"), "doc_id").join(leaf("AcctBal", "c_acctbal"), "doc_id").select("c_custkey", F.col("segment").alias("c_mktsegment"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    rows = project(_docs(_t(spark, d, "customer"), "c_custkey", src), compile_xsd(_CUSTOMER_XSD)).typed("Customer")
+    m = lambda path, name: F.col(f"message.{path}").alias(name)
+    return rows.select(F.col("message.cust_key").cast("long").alias("c_custkey"), m("segment", "c_mktsegment"), m("name.text", "c_name"), F.col("message.acct_bal.text").cast("double").alias("c_acctbal"))
 
 
 def p5_repeat_vs_merge(spark, d):
-    """A child that the schema has once, standing up to three times: the last text wins."""
-    schema = compile_dtd("<!ELEMENT o (v)><!ELEMENT v (#PCDATA)>")
-    p = project(parse(_docs(_t(spark, d, "customer"), "c_custkey", "concat('<o><v>first</v>', if(c_custkey % 2 = 0, '<v>second</v>', ''), if(c_custkey % 3 = 0, '<v>third</v>', ''), '</o>')")), schema)
-    return p.merged().where("slot = 'v'").select("doc_id", "value")
+    """A child that the schema has once, standing up to three times with its own child, and a choice of two: messages merge, the
+    last text wins, and the last variant of the choice stays."""
+    schema = compile_dtd("<!ELEMENT o (v,(x|y))><!ELEMENT v (w)><!ELEMENT w (#PCDATA)><!ATTLIST w a CDATA #IMPLIED><!ELEMENT x (#PCDATA)><!ELEMENT y (#PCDATA)>")
+    src = "concat('<o><v><w a=\"1\">first</w></v>', if(c_custkey % 2 = 0, '<v><w>second</w></v>', ''), if(c_custkey % 3 = 0, '<v><w>third</w></v>', ''), '<x>p</x>', if(c_custkey % 5 = 0, '<y>q</y>', ''), '</o>')"
+    p = project(_docs(_t(spark, d, "customer"), "c_custkey", src), schema)
+    at = lambda path, name: F.get_json_object("value", f"$.{path}").alias(name)
+    return p.docs.select("doc_id", at("v.w.text", "value"), at("v.w.a", "attribute"), at("x.text", "x"), at("y.text", "y"))
 
 
 def p6_unknown_markup(spark, d):
     schema = compile_dtd("<!ELEMENT o (v*)><!ELEMENT v (#PCDATA)><!ATTLIST o a CDATA #IMPLIED>")
-    p = project(parse(_docs(_t(spark, d, "customer"), "c_custkey", "concat('<o ', if(c_custkey % 4 = 0, 'b', 'a'), '=\"1\"><', if(c_custkey % 6 = 0, 'w', 'v'), '/></o>')")), schema)
+    p = project(_docs(_t(spark, d, "customer"), "c_custkey", "concat('<o ', if(c_custkey % 4 = 0, 'b', 'a'), '=\"1\"><', if(c_custkey % 6 = 0, 'w', 'v'), '/></o>')"), schema)
     return p.verdicts.select("doc_id", "verdict")
 
 
@@ -194,17 +199,17 @@ def _feeds(spark, d):
 
 
 def p11_rss_conformance(spark, d):
-    return rss_warnings(resolve_elements(parse(_feeds(spark, d)))).groupBy("doc_id").agg(F.count("*").alias("warnings"))
+    return rss_warnings(_feeds(spark, d)).groupBy("doc_id").agg(F.count("*").alias("warnings"))
 
 
 def p12_rss_item_count(spark, d):
-    return rss_item_count(resolve_elements(parse(_feeds(spark, d))))
+    return rss_item_count(_feeds(spark, d))
 
 
 def p10_rss_rules(spark, d):
     """Verdicts by the RSS schema: wrong versions, unknown markup, namespaced extensions."""
     src = "concat('<rss version=\"', if(c_custkey % 5 = 0, '1.0', '2.0'), '\" xmlns:e=\"u\"><channel><title>t</title><', if(c_custkey % 3 = 0, 'e:x', if(c_custkey % 3 = 1, 'bogus', 'ttl')), '/></channel></rss>')"
-    return project(parse(_docs(_t(spark, d, "customer"), "c_custkey", src)), format_schema("rss-2.0")).verdicts.select("doc_id", "verdict")
+    return project(_docs(_t(spark, d, "customer"), "c_custkey", src), format_schema("rss-2.0")).verdicts.select("doc_id", "verdict")
 
 
 def k17_name_mangling(spark, d):
@@ -217,16 +222,10 @@ def l6_pages_verdict(spark, d):
     return process(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def o5_rel_targets(spark, d):
-    """Targets of relationships resolved against their part's folder."""
-    rows = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.expr("concat('/word/', n_regionkey, '/', if(n_nationkey % 2 = 0, '../', './'), 'n', n_nationkey, '.xml')").alias("p"))
-    return rows.select("k", clean_path(F.col("p")).alias("target"))
-
-
 QUERIES = {f.__name__: f for f in (
     m0_nation_roundtrip, w1_tag_match_orders, w2_duplicate_attr, w6_char_references, w12_undeclared_entity, w14_recursive_entity, n5_illegal_characters, x1_nearest_namespace, x3_undeclared_prefix, x4_expanded_attribute, verdict_tally,
     v4_content_model, v7_required_attribute, v9_duplicate_id, v10_dangling_idref, v13_enumeration, e4_char_references, e5_attribute_whitespace, g1_document_roundtrip, g4_escape, t4_subtree_text, t6_coalesce_text, p2_projection_flat,
-    p5_repeat_vs_merge, p6_unknown_markup, p10_rss_rules, p11_rss_conformance, p12_rss_item_count, k17_name_mangling, l6_pages_verdict, o5_rel_targets,
+    p5_repeat_vs_merge, p6_unknown_markup, p10_rss_rules, p11_rss_conformance, p12_rss_item_count, k17_name_mangling, l6_pages_verdict,
 )}
 
 
@@ -261,7 +260,7 @@ ORACLE_SQL = {
     "v4_content_model": "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS doc_id, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber % 5 = 0 THEN 'INVALID' ELSE 'VALID' END AS verdict FROM lineitem",
     "v7_required_attribute": _bad("c_custkey", "customer", "c_custkey % 10 = 0", "INVALID", "VALID"),
     "v13_enumeration": _bad("o_orderkey", "orders", "o_orderstatus NOT IN ('F', 'O')", "INVALID", "VALID"),
-    "v9_duplicate_id": "SELECT c_custkey % 10 AS doc_id, 'c' || (c_custkey - CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END) AS id, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1",
+    "v9_duplicate_id": "SELECT c_custkey % 10 AS doc_id, 'c' || (c_custkey - CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END) AS id FROM customer GROUP BY 1, 2 HAVING count(*) > 1",
     "v10_dangling_idref": "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') THEN 'VALID' ELSE 'INVALID' END AS verdict FROM orders",
     "e4_char_references": "SELECT p_partkey AS doc_id, '<' || p_name || '&A>\"''' AS text FROM part",
     "e5_attribute_whitespace": "SELECT p_partkey AS doc_id, p_name || '  x' || chr(9) || 'y' AS value FROM part",
@@ -270,12 +269,17 @@ ORACLE_SQL = {
     "t4_subtree_text": "SELECT CAST(n_regionkey AS BIGINT) AS regionkey, string_agg(n_name, '' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1",
     "t6_coalesce_text": "SELECT p_partkey AS doc_id, 'a' || p_size || '&b|c<' || p_size AS runs FROM part",
     "p2_projection_flat": "SELECT c_custkey, c_mktsegment, c_name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS c_acctbal FROM customer",
-    "p5_repeat_vs_merge": "SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS value FROM customer",
+    "p5_repeat_vs_merge": "SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS value, '1' AS attribute, CASE WHEN c_custkey % 5 <> 0 THEN 'p' END AS x, CASE WHEN c_custkey % 5 = 0 THEN 'q' END AS y FROM customer",
     "p6_unknown_markup": _bad("c_custkey", "customer", "c_custkey % 4 = 0 OR c_custkey % 6 = 0", "INVALID", "VALID"),
     "p10_rss_rules": _bad("c_custkey", "customer", "c_custkey % 5 = 0 OR c_custkey % 3 = 1", "INVALID", "VALID"),
     "p11_rss_conformance": "WITH f AS (SELECT CAST(substring(source, 4) AS BIGINT) AS doc_id, count(*) FILTER (WHERE doc_id % 8 = 0) AS bare FROM documents GROUP BY 1) SELECT doc_id, bare + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS warnings FROM f WHERE bare > 0 OR doc_id % 3 = 0",
     "p12_rss_item_count": "SELECT CAST(substring(source, 4) AS BIGINT) AS doc_id, count(*) AS n_items FROM documents GROUP BY 1",
     "k17_name_mangling": "SELECT DISTINCT replace(p_type, ' ', '-') AS name, array_to_string(list_transform(string_split(p_type, ' '), lambda x: upper(x[1]) || x[2:]), '') AS type_name, lower(replace(p_type, ' ', '_')) AS field_name FROM part",
     "l6_pages_verdict": "SELECT 'NOT_WELL_FORMED' AS verdict, count(*) AS n FROM pages",
-    "o5_rel_targets": "SELECT CAST(n_nationkey AS BIGINT) AS k, '/word/' || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_regionkey || '/' END || 'n' || n_nationkey || '.xml' AS target FROM nation",
 }
+
+# the operators that take one table of cases each, and packages
+from arborq.plans import cases, package_queries  # noqa: E402
+
+QUERIES |= cases.QUERIES | package_queries.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL | package_queries.ORACLE_SQL

@@ -45,6 +45,10 @@ class Schema:
                     n += 1
         return out
 
+    def has_root(self, local: str) -> bool:
+        """Whether documents with a root of this local name belong to the schema."""
+        return pascal(local) in self.types
+
     def struct(self, type_name: str, _open: tuple = ()):
         """The Spark type of an element, or None where types refer to themselves."""
         from pyspark.sql import types as T
@@ -149,34 +153,26 @@ class _Lowering:
                 out.append(Field("entry" if inner[0] == "alt" else "seq1", repeated=True, variants=self._members(inner)))
 
 
-def parse_model(model: str):
-    """Particle tree of a content model without white space."""
-    at = 0
-
-    def occurrence(node):
-        nonlocal at
-        sign = model[at : at + 1]
-        if sign and sign in "?*+":
-            at += 1
-            return ("opt", node) if sign == "?" else ("rep", node)
-        return node
-
-    def item():
-        nonlocal at
-        if model[at] == "(":
-            at += 1
-            items, sep = [item()], ","
-            while model[at] != ")":
-                sep = model[at]
-                at += 1
-                items.append(item())
-            at += 1
-            return occurrence(("seq" if sep == "," else "alt", items))
-        m = re.compile(C.NAME).match(model, at)
-        at = m.end()
-        return occurrence(("ref", m[0]))
+_MODEL_TOKEN = re.compile(f"({C.NAME})|[(),|?*+]")
 
-    return item()
+
+def parse_model(model: str):
+    """Particle tree of a content model without white space; groups of one item are that item, however deep."""
+    groups: list[list] = [[",", []]]
+    for m in _MODEL_TOKEN.finditer(model):
+        token, items = m[0], groups[-1][1]
+        if m[1]:
+            items.append(("ref", token))
+        elif token == "(":
+            groups.append([",", []])
+        elif token == ")":
+            sep, own = groups.pop()
+            groups[-1][1].append(own[0] if len(own) == 1 else ("seq" if sep == "," else "alt", own))
+        elif token in "?*+":
+            items[-1] = ("opt" if token == "?" else "rep", items[-1])
+        else:
+            groups[-1][0] = token
+    return groups[0][1][0]
 
 
 def compile_dtd(source: str) -> Schema:
@@ -213,7 +209,8 @@ _TOKEN = re.compile(r"\(\*.*?\*\)|\s+|([A-Za-z_][A-Za-z0-9_:.-]*)|(\"[^\"]*\"|'[
 
 
 def compile_ebnf(source: str) -> Schema:
-    """Types of a vocabulary of rules ``name = body ;``: ``at_x`` is attribute x; ``text`` and names without a rule are strings."""
+    """Types of a vocabulary of rules ``name = body ;``: ``at_x`` is attribute x; ``text`` and names without a rule are strings;
+    ``e:text`` is an element of that name."""
     tokens, at = [], 0
     while at < len(source):
         m = _TOKEN.match(source, at)
@@ -249,7 +246,7 @@ def compile_ebnf(source: str) -> Schema:
                 pos += 1
                 items.append(inner if token == "(" else ("opt" if token == "[" else "rep", inner))
             elif token[0] not in "\"'":
-                items.append(("text",) if token == "text" else ("ref", token))
+                items.append(("text",) if token == "text" else ("ref", token.removeprefix("e:")))
         return ("seq", items)
 
     while pos < len(tokens):
@@ -257,7 +254,7 @@ def compile_ebnf(source: str) -> Schema:
         if pos + 1 >= len(tokens) or tokens[pos + 1] != "=":
             raise SchemaError(f"rule expected at {name}")
         pos += 2
-        rules[name] = alternatives()
+        rules[name.removeprefix("e:")] = alternatives()
         if pos >= len(tokens) or tokens[pos] != ";":
             raise SchemaError(f"rule {name} has no end")
         pos += 1
@@ -420,7 +417,64 @@ def compile_xsd(source: str, resolver: Callable[[str], str | None] = lambda _: N
 def compile_source(source: str, language: str = "ebnf", **flags) -> Schema:
     """Compiles by language (``dtd``, ``xsd``, else EBNF); flags are those of :class:`Schema`."""
     resolver = flags.pop("resolver", None)
-    schema = compile_dtd(source) if language == "dtd" else compile_xsd(source, resolver or (lambda _: None)) if language == "xsd" else compile_ebnf(source)
+    try:
+        if language == "dtd":
+            schema = compile_dtd(source)
+        elif language == "xsd":
+            schema = compile_xsd(source, resolver or (lambda _: None))
+        else:
+            schema = compile_ebnf(source)
+    except RecursionError:
+        raise SchemaError("nested too deeply") from None
     for k, v in flags.items():
         setattr(schema, k, v)
     return schema
+
+
+@dataclass
+class CompileReply:
+    """The schema, or what is wrong with its source; ``rows`` describes its types."""
+
+    schema: Schema | None
+    error: str = ""
+
+    @property
+    def rows(self) -> list[tuple]:
+        return self.schema.rows() if self.schema else []
+
+
+def compile_schema(source: str, language: str = "ebnf", **flags) -> CompileReply:
+    """Compiles without raising: an error stands in the reply."""
+    try:
+        return CompileReply(compile_source(source, language, **flags))
+    except SchemaError as e:
+        return CompileReply(None, str(e))
+
+
+#: Endings of files that hold a format's schema, in the order they are looked for, and their languages.
+ENDINGS = ((".ebnf", "ebnf"), (".xsd", "xsd"), (".dtd", "dtd"))
+
+
+class Registry:
+    """Schemas by name, compiled on first use: from files ``<name>.ebnf``, ``.xsd`` or ``.dtd`` below a folder, or added.
+    ``flags``: those of :class:`Schema` for a name."""
+
+    def __init__(self, folder: str | None = None, flags: dict[str, dict] | None = None):
+        self.folder, self.flags, self.known = folder, flags or {}, {}
+
+    def add(self, name: str, schema: Schema) -> None:
+        self.known[name] = schema
+
+    def get(self, name: str) -> Schema:
+        if name not in self.known:
+            import pathlib
+
+            for ending, language in ENDINGS if self.folder else ():
+                path = pathlib.Path(self.folder) / f"{name}{ending}"
+                if path.is_file():
+                    more = {"resolver": file_resolver(self.folder)} if language == "xsd" else {}
+                    self.known[name] = compile_source(path.read_text(), language, **more, **self.flags.get(name, {}))
+                    break
+            else:
+                raise KeyError(f"unknown format {name}")
+        return self.known[name]

@@ -2,46 +2,70 @@
 
 from __future__ import annotations
 
+import struct
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborq.operators.parse import parse
 
 
 def clean_path(path: Column) -> Column:
     """Absolute path without ``.``, ``..`` and empty steps, by a fold over its steps."""
-    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+
+    def step(a, s):
+        return F.when(s.isin("", "."), a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))
+
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
     return F.concat(F.lit("/"), F.array_join(steps, "/"))
 
 
+#: Part of a package that tells the content types of the others.
+CONTENT_TYPES = "/[Content_Types].xml"
+
+
+def _unzipped(content: bytes | None) -> dict[str, bytes]:
+    """Parts by name, the last of a name; raises ValueError with what is wrong with an archive."""
+    import io
+    import posixpath
+    import zipfile
+    import zlib
+
+    parts = {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            for info in z.infolist():
+                if not info.is_dir():
+                    parts[posixpath.normpath("/" + info.filename.lstrip("/"))] = z.read(info)
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zlib.error, OSError, ValueError, struct.error) as e:
+        raise ValueError(f"broken archive: {e}") from None
+    return parts
+
+
 def parts_of(packages: DataFrame) -> DataFrame:
-    """``packages(package_id, content binary)`` -> ``(package_id, name, content)``: of parts of a name the last counts. Broken archives give none."""
+    """``packages(package_id, content binary)`` -> ``(package_id, name, content, error)``: of parts of a name the last counts.
+    A broken archive gives one row without a name, with the error."""
 
     def run(batches):
-        import io
-        import posixpath
-        import zipfile
-
         for batch in batches:
             for key, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parts = {}
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        for info in z.infolist():
-                            if not info.is_dir():
-                                parts[posixpath.normpath("/" + info.filename.lstrip("/"))] = z.read(info)
-                except (zipfile.BadZipFile, EOFError, NotImplementedError):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(parts), batch.column(0).type), pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.binary())], ["package_id", "name", "content"])
+                    rows = [(name, raw, None) for name, raw in _unzipped(content).items()]
+                except ValueError as e:
+                    rows = [(None, None, str(e))]
+                names, raws, errors = zip(*rows, strict=True) if rows else ((), (), ())
+                arrays = [pa.array([key.as_py()] * len(rows), batch.column(0).type), pa.array(names, pa.string()), pa.array(raws, pa.binary()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["package_id", "name", "content", "error"])
 
     kind = packages.schema["package_id"].dataType.simpleString()
-    return packages.select("package_id", "content").mapInArrow(run, f"package_id {kind}, name string, content binary")
+    return packages.select("package_id", "content").mapInArrow(run, f"package_id {kind}, name string, content binary, error string")
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Parts of the package files at a path; the file is the ``package_id``."""
-    return parts_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("package_id"), "content"))
+    """``(package_id, content)`` of the package files at a path; the file is the ``package_id``."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("package_id"), "content")
 
 
 def _child_attrs(corpus, name: str, wanted: list[str]) -> DataFrame:
@@ -94,15 +118,123 @@ def relationships(parts: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id.package_id").alias("package_id"), source.alias("source_part"), F.col("Id").alias("id"), F.col("Type").alias("type"), F.col("Target").alias("target"), F.coalesce("TargetMode", F.lit("")).alias("mode"), resolved.alias("resolved"))
 
 
-def process_packages(parts: DataFrame) -> DataFrame:
-    """``(package_id, name, content_type, root, package_verdict)`` of every part but the content types and relationships; one
-    XML part that is not well-formed makes its package NOT_WELL_FORMED."""
-    from arborq.operators.process import process
+def _local_children(out, names, wanted: tuple[str, ...]) -> list[tuple[str, dict[str, str]]]:
+    """Local names and attributes (by local name) of the root's children of these local names."""
+    root = next(n for n in out.nodes if n[2] is None and n[6] == "element")
+    found = []
+    for n, own in zip(out.nodes, names, strict=True):
+        if n[2] == root[0] and own and own[1] in wanted:
+            found.append((own[1], {a[1]: v for (_, _, v), a in zip(n[9], own[3], strict=True)}))
+    return found
+
+
+def _clean(path: str) -> str:
+    steps: list[str] = []
+    for step in path.split("/"):
+        if step == "..":
+            del steps[-1:]
+        elif step not in ("", "."):
+            steps.append(step)
+    return "/" + "/".join(steps)
+
+
+def _rels(raw: bytes | None, part: str) -> list[tuple]:
+    """``(id, type, target, mode, resolved)`` of a part's relationships; bad ones are none."""
+    from arborq.functions.checks import judge
+
+    if raw is None:
+        return []
+    out, names, found = judge(raw)
+    if found:
+        return []
+    base, rows = part.rpartition("/")[0] + "/", []
+    for _, a in _local_children(out, names, ("Relationship",)):
+        target, mode = a.get("Target", ""), a.get("TargetMode", "")
+        resolved = None if mode == "External" else _clean(target if target.startswith("/") else base + target)
+        rows.append((a.get("Id"), a.get("Type"), target, mode, resolved))
+    return rows
+
+
+def _types(raw: bytes | None) -> tuple[dict, dict]:
+    """Content types by part and by lower-case extension; a package without the list has none."""
+    from arborq.functions.checks import judge
+
+    if raw is None:
+        return {}, {}
+    out, names, found = judge(raw)
+    if found:
+        raise ValueError(f"content types: {found[0][4]}")
+    rows = _local_children(out, names, ("Default", "Override"))
+    by_extension = {a.get("Extension", "").lower(): a.get("ContentType") for n, a in rows if n == "Default"}
+    return {a.get("PartName"): a.get("ContentType") for n, a in rows if n == "Override"}, by_extension
+
+
+_PART = "struct<name:string,content_type:string,root:string,nodes:int,rels:array<struct<id:string,type:string,target:string,mode:string,resolved:string>>,format:string,verdict:string,value:string>"
+
+
+def process_packages(packages: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """``(package_id, package_verdict, reason, rels, name, content_type, root, nodes, part_rels, format, verdict, value)``: one row
+    for each part but the content types and relationships, by name, and one without a name for a package that can't be read.
+
+    ``rels`` are the package's own relationships. An XML part has its root's name and number of nodes; with ``schemas`` (by
+    format) it goes to the first whose types hold its root, and has that format, its verdict and its typed value as JSON. A
+    broken archive or list of content types makes a package NOT_A_PACKAGE, an XML part that is not well-formed makes it
+    NOT_WELL_FORMED. A package is opened, parsed and projected in its own row."""
+    kind = packages.schema["package_id"].dataType
+    rel = "array<struct<id:string,type:string,target:string,mode:string,resolved:string>>"
+    out = T.StructType([T.StructField("package_id", kind)]).add("package_verdict", "string").add("reason", "string")
+    out = out.add("rels", T._parse_datatype_string(rel)).add("parts", T._parse_datatype_string(f"array<{_PART}>"))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from arborq.functions.checks import judge, root_name
+        from arborq.functions.projecting import Layout, as_json, place
+
+        layouts = {name: Layout(schema) for name, schema in (schemas or {}).items()}
+        arrow = to_arrow_schema(out)
+
+        def part_row(name, raw, types, parts):
+            own, by_extension = types
+            last = name.rpartition("/")[2]
+            kind = own.get(name) or by_extension.get(last.rpartition(".")[2].lower() if "." in last else "")
+            head, _, tail = name.rpartition("/")
+            rels = _rels(parts.get(f"{head}/_rels/{tail}.rels"), name)
+            typed = kind.endswith("+xml") or kind in ("application/xml", "text/xml") if kind is not None else name.endswith((".xml", ".rels"))
+            if not typed:
+                return (name, kind, None, None, rels, None, None, None), None
+            scan, names, found = judge(raw)
+            if found:
+                return (name, kind, None, None, rels, None, found[0][3], None), f"{name}: {found[0][4]}"
+            local = next(own[1] for n, own in zip(scan.nodes, names, strict=True) if n[2] is None and own)
+            for format_, layout in layouts.items():
+                if layout.mangled(local)[0] in layout.types:
+                    got = place(scan, names, layout)
+                    value = as_json(got.value) if got.placed else None
+                    return (name, kind, root_name(scan), len(scan.nodes), rels, format_, "INVALID" if got.why else "VALID", value), None
+            return (name, kind, root_name(scan), len(scan.nodes), rels, None, "WELL_FORMED", None), None
 
-    typed = with_types(parts, content_types(parts))
-    own = typed.where("name <> '/[Content_Types].xml'").where(~F.col("name").contains("/_rels/"))
-    xml = own.where(is_xml_part(F.col("name"), F.col("content_type"))).select(F.struct("package_id", "name").alias("doc_id"), F.col("content").alias("source"))
-    seen = process(xml).select("doc_id.package_id", "doc_id.name", "verdict", "root")
-    bad = seen.groupBy("package_id").agg(F.max(F.col("verdict") == "NOT_WELL_FORMED").alias("bad"))
-    out = own.drop("content").join(seen.drop("verdict"), ["package_id", "name"], "left").join(bad, "package_id", "left")
-    return out.select("package_id", "name", "content_type", "root", F.when(F.coalesce("bad", F.lit(False)), "NOT_WELL_FORMED").otherwise("WELL_FORMED").alias("package_verdict"))
+        for batch in batches:
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                rows, rels, verdict, reason = [], [], "WELL_FORMED", None
+                try:
+                    parts = _unzipped(content)
+                    types = _types(parts.get(CONTENT_TYPES))
+                    rels = _rels(parts.get("/_rels/.rels"), "/")
+                    for name in sorted(parts):
+                        if name != CONTENT_TYPES and "/_rels/" not in name:
+                            row, wrong = part_row(name, parts[name], types, parts)
+                            rows.append(row)
+                            if wrong and reason is None:
+                                verdict, reason = "NOT_WELL_FORMED", wrong
+                except ValueError as e:
+                    rows, verdict, reason = [], "NOT_A_PACKAGE", str(e)
+                columns = [pa.array([verdict], pa.string()), pa.array([reason], pa.string()), pa.array([rels], arrow.field(3).type)]
+                fields = [f.name for f in arrow.field(4).type.value_type]
+                found = pa.array([[dict(zip(fields, r, strict=True)) for r in rows]], arrow.field(4).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *columns, found], schema=arrow)
+
+    rows = packages.select("package_id", "content").mapInArrow(run, out)
+    each = rows.select("package_id", "package_verdict", "reason", "rels", F.explode_outer("parts").alias("p"))
+    names = ("name", "content_type", "root", "nodes", "format", "verdict", "value")
+    return each.select("package_id", "package_verdict", "reason", "rels", *[F.col(f"p.{n}").alias(n) for n in names], F.col("p.rels").alias("part_rels"))

@@ -57,3 +57,28 @@ def test_bytes(spark):
     rows = [(1, "<r>é</r>".encode("utf-16")), (2, '<?xml version="1.0" encoding="latin1"?><r>é</r>'.encode("latin-1")), (3, b"\xef\xbb\xbf<r/>"), (4, b"<r>\xff</r>")]
     got = {r.doc_id: r.verdict for r in process(spark.createDataFrame(rows, "doc_id int, source binary")).collect()}
     assert got == {1: W, 2: W, 3: W, 4: N}
+
+
+def test_hard_documents_stop_nothing(spark):
+    """Long references, deep entities, empty entities by the billion, deep models and elements, and ids that repeat or are null."""
+    chain = "".join(f'<!ENTITY e{i} "&e{i + 1};">' for i in range(3000)) + '<!ENTITY e3000 "x">'
+    grow = lambda first: f'<!ENTITY a "{first}">' + "".join(f'<!ENTITY {chr(98 + i)} "{("&" + chr(97 + i) + ";") * 10}">' for i in range(20))
+    deep = "(" * 4000 + "k" + ")" * 4000
+    rows = [
+        (1, "<a>&#" + "9" * 5000 + ";</a>", N, N),
+        (1, "<a>&#x" + "0" * 5000 + "41;</a>", I, W),
+        (None, f"<!DOCTYPE a [{chain}]><a b='&e0;'>&e0;</a>", I, W),
+        (None, f"<!DOCTYPE a [{grow('')}]><a b='&t;'>&t;</a>", I, W),
+        (2, f"<!DOCTYPE a [{grow('x' * 9)}]><a>&t;</a>", "LIMIT_EXCEEDED", "LIMIT_EXCEEDED"),
+        (2, f"<!DOCTYPE r [<!ELEMENT r {deep}><!ELEMENT k EMPTY>]><r><k/></r>", V, W),
+        (3, "<a>" * 50_000 + "</a>" * 50_000, I, W),
+        (3, "<a>" + "x&amp;" * 50_000 + "</a>", I, W),
+        (4, "<!DOCTYPE r [<!ELEMENT r ((x|y)*,(x|y)*,x)><!ELEMENT x EMPTY><!ELEMENT y EMPTY>]><r>" + "<x/><y/>" * 10_000 + "<x/></r>", V, W),
+        (4, "<!DOCTYPE r [<!ELEMENT r ((x|y)*,(x|y)*,x)><!ELEMENT x EMPTY><!ELEMENT y EMPTY>]><r>" + "<x/><y/>" * 10_000 + "</r>", I, W),
+    ]
+    df = spark.createDataFrame([(r[0], i, r[1]) for i, r in enumerate(rows)], "doc_id int, n int, source string")
+    for validating, want in ((True, 2), (False, 3)):
+        got = {r.n: (r.doc_id, r.verdict) for r in process(df, validating=validating, keep=["n"]).collect()}
+        assert got == {i: (r[0], r[want]) for i, r in enumerate(rows)}
+    raised = process(df.where("n = 4"), limit=100).first()
+    assert raised.verdict == "LIMIT_EXCEEDED"
