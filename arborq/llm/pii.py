@@ -12,6 +12,7 @@ overlap them or each other."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -24,7 +25,7 @@ from ._shared import table
 from ._words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 256, 192
+WINDOW, STRIDE = 512, 448
 #: Characters of a window that is learned from.
 LEARNED = 96
 OUTSIDE, TAGS = 0, 1 + 2 * len(KINDS)
@@ -88,28 +89,24 @@ def _sigmoid(x):
 
 
 def _tanh(x, work):
-    """tanh of ``x`` in place, by a ratio of polynomials: within 0.0002, a third of the time of the function itself."""
-    np.clip(x, -4.9, 4.9, out=x)
+    """tanh of ``x`` in place, by a ratio of polynomials: within 0.002, a fraction of the time of the function itself."""
+    np.clip(x, -3.9, 3.9, out=x)
     y = np.multiply(x, x, out=work)
-    low = y * 28
-    low += 3150
+    low = y * 15
+    low += 420
     low *= y
-    low += 62370
-    low *= y
-    low += 135135
+    low += 945
     x /= low
-    np.add(y, 378, out=low)
-    low *= y
-    low += 17325
+    np.add(y, 105, out=low)
     low *= y
-    low += 135135
+    low += 945
     x *= low
 
 
 class Network:
     """Parameters, forward pass and decoding; see :func:`train`."""
 
-    def __init__(self, hidden: int = 12, seed: int = 10):
+    def __init__(self, hidden: int = 8, seed: int = 10):
         rng = np.random.Generator(np.random.PCG64(seed))
         h = self.hidden = hidden
         self.p = {}
@@ -245,8 +242,10 @@ class Network:
         e = self.emissions(chars)
         a = self.p["a"] + self.ban
         still = a[OUTSIDE, OUTSIDE]
-        opened = e[:, :, 1::2].max(2) - e[:, :, OUTSIDE]
-        going = np.maximum(opened, e[:, :, 2::2].max(2) - e[:, :, OUTSIDE])
+        best_of = lambda tags: functools.reduce(np.maximum, (e[:, :, t] for t in tags))
+        opened, going = best_of(range(1, TAGS, 2)), best_of(range(2, TAGS, 2))
+        opened = opened - e[:, :, OUTSIDE]
+        going = np.maximum(opened, going - e[:, :, OUTSIDE])
         enter, stay, leave = (float(x.max() - still) for x in (a[OUTSIDE, 1::2], a[1:, 1:], a[1:, OUTSIDE]))
         now = opened[0]  # nothing stands before the first character, so nothing is saved or spent
         best = now + leave
@@ -440,7 +439,7 @@ def _joined(spans, cut):
     return out
 
 
-def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 1024) -> list[list[tuple[int, int, int]]]:
+def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 768) -> list[list[tuple[int, int, int]]]:
     """Spans that the network adds to the rules' ones, for each text."""
     edge = (WINDOW - STRIDE) / 2
     coded = [char_ids(t) for t in texts]
