@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ._shared import table
 from ._words import PIECE, chunks
 
-#: Words that a Python worker remembers (about 250 bytes each); then it starts anew.
-MAX_CACHED_WORDS = 300_000
+#: Words that a Python worker remembers, and characters of them with their ids (some 100 and 4 bytes each); then it starts anew.
+MAX_CACHED_WORDS, MAX_CACHED_CHARS = 300_000, 16_000_000
 _NONE = np.int64(1) << np.int64(40)
 SPACE = "▁"
 
@@ -270,7 +270,7 @@ class Encoder:
     """Encodes and decodes texts with a bounded memory of words."""
 
     def __init__(self, path: str):
-        self.model, self.ids, self.text = load(path), {}, {}
+        self.model, self.ids, self.text, self.held = load(path), {}, {}, 0
 
     def run(self, texts: list[str]) -> list[tuple[str, str]]:
         """(decimal ids joined by commas, decoded text) of each text."""
@@ -279,8 +279,8 @@ class Encoder:
         seen = set()
         for w in cut:
             seen.update(w)
-        if len(self.ids) > MAX_CACHED_WORDS:
-            self.ids, self.text = {}, {}
+        if len(self.ids) > MAX_CACHED_WORDS or self.held > MAX_CACHED_CHARS:
+            self.ids, self.text, self.held = {}, {}, 0
         new = [w for w in seen if w not in self.ids]
         number, plain = model.number.__getitem__, model.plain.__getitem__
         for w, ids in zip(new, model.encode_words(new) if new else (), strict=True):
@@ -290,6 +290,7 @@ class Encoder:
             except TypeError:  # bytes or hidden pieces among them
                 back = model.decode(ids, start=False)
             self.text[w] = w if back == w else back
+            self.held += len(w) + len(self.ids[w])
         ids_of, text_of = self.ids.__getitem__, self.text.__getitem__
         return [(",".join(map(ids_of, w)), "".join(map(text_of, w))[1:]) for w in cut]
 

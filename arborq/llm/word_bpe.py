@@ -16,8 +16,8 @@ import pyarrow as pa
 from ._words import range_hashes, text_bytes
 from .piece_bpe import PairTable, merge_rounds
 
-#: Words that a Python worker remembers (about 60 bytes each); then it starts anew.
-MAX_CACHED_WORDS = 300_000
+#: Words that a Python worker remembers, and ids of them (about 60 and 4 bytes each); then it starts anew.
+MAX_CACHED_WORDS, MAX_CACHED_IDS = 300_000, 8_000_000
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _FOREIGN = range(5)
 _CLASS = np.full(256, _FOREIGN, np.uint8)
@@ -133,7 +133,7 @@ class WordBPE:
         word = kind[starts] != _SPACE
         starts, ends = starts[word], ends[word]
         hashes = range_hashes(buf, starts, ends, lower=False)
-        if self.table.n > MAX_CACHED_WORDS:
+        if self.table.n > MAX_CACHED_WORDS or len(self.flat) > MAX_CACHED_IDS:
             self.forget()
         rows = self.table.find(hashes)
         new = np.flatnonzero(rows < 0)
