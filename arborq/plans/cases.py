@@ -9,6 +9,7 @@ from arborq.operators.namespaces import resolve_attributes
 from arborq.operators.parse import parse
 from arborq.operators.process import process
 from arborq.operators.project import project
+from arborq.operators.tokens import tokens
 from arborq.operators.tree import gather_text, generate
 from arborq.plans.schema import compile_dtd, compile_ebnf, compile_schema, compile_xsd
 from arborq.sources.text import decoded, is_v11, line_ends, pseudo_attribute
@@ -216,6 +217,12 @@ def t5_lookup(spark, d):
     return found.select("doc_id", "value")
 
 
+@_query("SELECT k AS doc_id, unnest(['comment', 'start', 'text', 'reference', 'empty', 'end']) AS kind, unnest(['<!--c-->', '<r a=\">\">', 't' || k, '&amp;', '<k/>', '</r>']) AS text FROM c")
+def l6_tokens(spark, d):
+    """The pieces of documents."""
+    return tokens(_customers(spark, d, "concat('<!--c--><r a=\">\">t', k, '&amp;<k/></r>')")).select("doc_id", "kind", "text")
+
+
 _NOTE = "<!ELEMENT note (to,body?)><!ELEMENT to (#PCDATA)><!ELEMENT body (p*)><!ELEMENT p (#PCDATA|b)*><!ELEMENT b (#PCDATA)><!ATTLIST note id CDATA #IMPLIED>"
 
 

@@ -89,3 +89,20 @@ def test_registry_and_replies(spark, tmp_path):
     assert [f.name for f in known.get("a").types["A"]] == ["text"] and known.get("b").open and known.get("b").has_root("c")
     assert api.compile_schema("a = ", "ebnf").error and api.compile_schema("<!ELEMENT a EMPTY>", "dtd").rows == []
     assert api.compile_schema("<!ELEMENT a " + "(" * 5000 + "b" + ")" * 5000 + ">", "dtd").rows[0][1] == "b"
+
+
+def test_commands(spark, tmp_path):
+    from arborq import cli
+
+    (tmp_path / "a.xml").write_text("<r><k/>t</r>")
+    (tmp_path / "b.xml").write_text("<r>")
+    (tmp_path / "s.dtd").write_text("<!ELEMENT r (k)><!ELEMENT k EMPTY>")
+    (tmp_path / "p.zip").write_bytes(b"none")
+    files = str(tmp_path / "*.xml")
+    assert sorted(r.verdict for r in cli.run(spark, ["parse", files])[0].collect()) == ["NOT_WELL_FORMED", "WELL_FORMED"]
+    assert sorted(r.verdict for r in cli.run(spark, ["parse", "--validate", files])[0].collect()) == ["INVALID", "NOT_WELL_FORMED"]
+    assert [r.value for r in cli.run(spark, ["parse", "--schema", str(tmp_path / "s.dtd"), files])[0].orderBy("doc_id").collect()] == ['{"k": {}}', None]
+    assert [r.text for r in cli.run(spark, ["parse", "--tokens", str(tmp_path / "a.xml")])[0].collect()] == ["<r>", "<k/>", "t", "</r>"]
+    cli.run(spark, ["generate", files, str(tmp_path / "out")])
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["<r><k/>t</r>"]
+    assert cli.run(spark, ["packages", str(tmp_path / "p.zip")])[0].first().package_verdict == "NOT_A_PACKAGE"
