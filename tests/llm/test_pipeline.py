@@ -1,6 +1,9 @@
 """The pipeline's stages on a small table: what goes, what stays and what is rewritten."""
 
 import corpus_pipeline as cp
+from test_operators import brute_components
+
+from arborq.llm import pii, quality_model, toxicity
 
 
 def test_stages(spark, small):
@@ -14,6 +17,49 @@ def test_stages(spark, small):
     assert last.select("doc_id").distinct().count() <= kept.count()
 
 
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select(*cp.COLUMNS).collect()), key=str)
+
+
+def test_each_stage_is_its_operators_verdicts(spark, small):
+    """Toxicity and quality keep exactly the rows that the operator, asked for verdicts of each row, accepts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    toxic = {r.doc_id for r in toxicity.severity(docs, toxicity.fit(toxicity.labelled_documents(spark, small, docs))).collect() if r.toxic}
+    assert rows_of(cp.toxicity_stage(spark, docs, small)) == rows_of(docs.where(~docs.doc_id.isin([*toxic, -1])))
+    good = {r.doc_id for r in quality_model.score_documents(spark, small, docs).collect() if r.score >= 0.3}
+    assert rows_of(cp.quality_stage(spark, docs, small)) == rows_of(docs.where(docs.doc_id.isin([*good, -1])))
+
+
+def test_near_duplicates_are_the_brute_force_ones(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    named = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.doc_id != 207]
+    comp = brute_components(named, 5)
+    want = sorted([i for i, (_, c) in comp.items() if i == c] + [207])
+    got = [r.doc_id for r in cp.near_dup_stage(spark, docs, small).collect()]
+    assert sorted(i for i in got if i is not None) == want and got.count(None) == 1
+
+
+def test_repeated_ids_with_different_texts(spark, small):
+    """Of one id: two equal rows (one stays), another text (stays), and a copy of a smaller id's text (goes)."""
+    prose = lambda k: " ".join(f"w{(i * i + k * 17) % 101}.{k}" for i in range(40))
+    texts = [(1, prose(1)), (5, prose(2)), (5, prose(2)), (5, prose(3)), (5, prose(1)), (6, prose(3)), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dup_stage(spark, docs, small).collect()), key=str)
+    assert got == sorted([(1, prose(1)), (5, prose(2)), (5, prose(3)), (7, None)], key=str)
+
+
+def test_redaction_covers_every_span(spark, small):
+    """Texts after the stage are the texts with each of the operator's spans replaced by its kind."""
+    prose = [f"call +49 {i} 555-{1000 + i} or write a{i}.b@host{i}.org from 10.{i}.3.{i} today" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(prose)], "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.fit(docs)).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.pii_stage(spark, docs, small).collect()}
+    for i, text in enumerate(prose):
+        for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans[i].split(","))), key=lambda s: -s[1]):
+            text = text[:a] + f"[{kind}]" + text[b:]
+        assert got[i] == (text, len(text))
+
+
 def test_near_duplicates_leave_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     ids = [r.doc_id for r in cp.near_dup_stage(spark, docs, small).collect()]
