@@ -50,13 +50,15 @@ def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind, and ``n_chars`` of the new texts."""
+    """All documents, with personal data in their texts replaced by its kind, and ``n_chars`` of the new texts. The network learns
+    from a bounded sample of ``docs``; null texts stay null, rows that repeat are rewritten each, an empty table stays empty."""
     out = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens, with the ids."""
+    """The pieces of all documents and their places in sequences of 2048 tokens, with the ids. Null texts are empty ones, rows that
+    repeat are packed each, an empty table gives no piece."""
     return packing.pack(docs, with_ids=True)
 
 
