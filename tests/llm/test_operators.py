@@ -344,3 +344,29 @@ def test_network_finds_variants_it_was_not_shown(spark):
     new = [f"{word(40)} 49 (301) 555-6503 {word(60)}", f"{word(400)} jane.doe at mill dot org {word(10)}", word(300)]
     found = pii.find_pii(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), net).orderBy("doc_id").collect()
     assert found[0].n_added >= 1 and found[2].n_added == 0
+
+
+def test_near_duplicates_of_documents_are_all_found(spark):
+    """Components and set sizes of the query on a whole table against all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op4_near_dup"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute_components(rows, 4)
+
+
+def test_neighbours_of_embeddings(spark):
+    """Recall of the query on a whole table against all cosines, and exact scores."""
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").where("embedding IS NOT NULL").collect()
+    keep = [(r.vec_id, np.array(r.embedding, float)) for r in rows if None not in r.embedding]
+    keep = [(i, v) for i, v in keep if np.isfinite(v).all() and v.any()]
+    ids, unit = np.array([i for i, _ in keep]), np.array([v / np.linalg.norm(v) for _, v in keep])
+    got = {}
+    for r in QUERIES["op9_neighbours"](spark, DATA).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = total = 0
+    for q, found in got.items():
+        score = unit @ unit[ids == q][0]
+        score[ids == q] = -2
+        best = ids[np.lexsort((ids, -score))[:5]]
+        hits, total = hits + len(set(best.tolist()) & set(found)), total + 5
+        assert all(abs(score[ids == i][0] - s) < 1e-9 for i, s in found.items())
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0} and hits >= 0.9 * total
