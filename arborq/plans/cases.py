@@ -125,11 +125,13 @@ def _query(sql: str):
     return add
 
 
-@_query("SELECT k AS doc_id, CASE WHEN k % 10 = 0 THEN 'INVALID' ELSE 'VALID' END AS verdict FROM c WHERE k % 50 < 20")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CASE WHEN n_nationkey % 4 = 0 THEN 'INVALID' ELSE 'VALID' END AS verdict FROM nation")
 def v4_long_content(spark, d):
-    """Elements with 12,000 children and more."""
-    source = f"concat({_lit(_dtd('<!ELEMENT r ((x|y)*,z?)><!ELEMENT x EMPTY><!ELEMENT y EMPTY><!ELEMENT z EMPTY>'))}, '<r>', repeat('<x/><y/>', 6000 + k % 7), '<z/>', if(k % 10 = 0, '<x/>', ''), '</r>')"
-    return process(_customers(spark, d, source).where("doc_id % 50 < 20"), validating=True).select("doc_id", "verdict")
+    """Elements with 24,000 children and more, one document for each nation."""
+    dtd = _lit(_dtd("<!ELEMENT r ((x|y)*,z?)><!ELEMENT x EMPTY><!ELEMENT y EMPTY><!ELEMENT z EMPTY>"))
+    source = f"concat({dtd}, '<r>', repeat('<x/><y/>', 12000 + n_nationkey), '<z/>', if(n_nationkey % 4 = 0, '<x/>', ''), '</r>')"
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.expr(source).alias("source"))
+    return process(rows, validating=True).select("doc_id", "verdict")
 
 
 @_query("SELECT CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 7 ELSE k END AS doc_id, CASE WHEN k % 3 = 0 THEN 'NOT_WELL_FORMED' ELSE 'WELL_FORMED' END AS verdict FROM c")
