@@ -76,7 +76,7 @@ QUERIES = {f.__name__: f for f in (s4_parts, o1_packages, o2_content_types, o3_t
 _K = "(SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation)"
 _PNG = "'/media/' || k || '.png'"
 ORACLE_SQL = {
-    "s4_parts": f"SELECT k AS package_id, CASE WHEN k % 5 = 2 THEN 0 ELSE 6 END AS parts, CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END AS errors FROM {_K}",
+    "s4_parts": f"SELECT k AS package_id, CAST(CASE WHEN k % 5 = 2 THEN 0 ELSE 6 END AS BIGINT) AS parts, CAST(CASE WHEN k % 5 = 2 THEN 1 ELSE 0 END AS BIGINT) AS errors FROM {_K}",
     "o1_packages": f"""WITH p AS (SELECT k, k % 5 AS m, unnest([{_PNG}, '/word/document.xml', '/custom/item.xml']) AS name FROM {_K})
 SELECT k AS package_id, CASE WHEN m = 1 THEN 'NOT_WELL_FORMED' ELSE 'WELL_FORMED' END AS package_verdict, name,
   CASE WHEN name LIKE '/word%' AND m <> 1 THEN 'w:document' WHEN name LIKE '/custom%' THEN 'zz' END AS root FROM p WHERE m NOT IN (2, 3)
