@@ -23,10 +23,20 @@ def verdicts(corpus: Corpus) -> DataFrame:
     first = F.get("diagnostics", F.lit(0))
     root = F.get(F.filter("nodes", lambda n: (n["kind"] == "element") & n["parent_id"].isNull()), F.lit(0))["name"]
     good = "VALID" if corpus.validating else "WELL_FORMED"
-    return corpus.docs.select("doc_id", F.coalesce(first["verdict"], F.lit(good)).alias("verdict"), first["reason"].alias("reason"), F.when(first.isNull(), root).alias("root"))
+    verdict = F.coalesce(first["verdict"], F.lit(good))
+    return corpus.docs.select("doc_id", verdict.alias("verdict"), first["reason"].alias("reason"), F.when(first.isNull(), root).alias("root"))
 
 
-def process(df: DataFrame, *, schema=None, validating: bool = False, id_col: str = "doc_id", source_col: str = "source", keep: list[str] = (), limit: int = MAX_EXPANSION) -> DataFrame:
+def process(
+    df: DataFrame,
+    *,
+    schema=None,
+    validating: bool = False,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    keep: list[str] = (),
+    limit: int = MAX_EXPANSION,
+) -> DataFrame:
     """``(doc_id, verdict, reason, root)`` of each row, and the columns of ``keep``; streams too. With a schema, documents are not
     validated against their DTD but projected: VALID or INVALID, whatever the mode. ``root`` is the qualified name of
     the root element of accepted documents. Every row has its own verdict: null and repeated ids are carried. Documents

@@ -82,7 +82,8 @@ def project(df: DataFrame, schema: Schema, *, id_col: str = "doc_id", source_col
     that the schema doesn't tolerate, else VALID; documents that are not well-formed keep their verdict. Null and repeated
     ids are carried, each row with its own result."""
     out = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *[T.StructField(c, df.schema[c].dataType) for c in keep]])
-    for name, kind in (("verdict", "string"), ("reason", "string"), ("root", "string"), ("placed", _PLACED), ("unknown", "array<struct<node_id:int,what:string>>"), ("value", "string")):
+    own = {"verdict": "string", "reason": "string", "root": "string", "placed": _PLACED, "unknown": "array<struct<node_id:int,what:string>>", "value": "string"}
+    for name, kind in own.items():
         out = out.add(name, T._parse_datatype_string(kind))
     rows = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), *keep)
 

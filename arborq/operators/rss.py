@@ -70,7 +70,8 @@ def rss_report(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
                     rows.append(i)
                     counts.append(report[0])
                     warnings.append(report[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), list_array(warnings, kind.field(2).type)], schema=kind)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), list_array(warnings, kind.field(2).type)], schema=kind)
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")).mapInArrow(run, out)
 

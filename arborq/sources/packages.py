@@ -56,7 +56,8 @@ def parts_of(packages: DataFrame) -> DataFrame:
                 except ValueError as e:
                     rows = [(None, None, str(e))]
                 names, raws, errors = zip(*rows, strict=True) if rows else ((), (), ())
-                arrays = [pa.array([key.as_py()] * len(rows), batch.column(0).type), pa.array(names, pa.string()), pa.array(raws, pa.binary()), pa.array(errors, pa.string())]
+                ids = pa.array([key.as_py()] * len(rows), batch.column(0).type)
+                arrays = [ids, pa.array(names, pa.string()), pa.array(raws, pa.binary()), pa.array(errors, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["package_id", "name", "content", "error"])
 
     kind = packages.schema["package_id"].dataType.simpleString()
@@ -82,8 +83,9 @@ def content_types(parts: DataFrame) -> DataFrame:
     """``(package_id, extension, part, type)``: defaults by lower-case extension, overrides by part."""
     rows = parts.where("name = '/[Content_Types].xml'").select(F.col("package_id").alias("doc_id"), F.col("content").alias("source"))
     corpus = parse(rows)
-    defaults = _child_attrs(corpus, "Default", ["Extension", "ContentType"]).select("doc_id", F.lower("Extension").alias("extension"), F.lit(None).cast("string").alias("part"), F.col("ContentType").alias("type"))
-    overrides = _child_attrs(corpus, "Override", ["PartName", "ContentType"]).select("doc_id", F.lit(None).cast("string"), F.col("PartName"), F.col("ContentType"))
+    none, kind = F.lit(None).cast("string"), F.col("ContentType").alias("type")
+    defaults = _child_attrs(corpus, "Default", ["Extension", "ContentType"]).select("doc_id", F.lower("Extension").alias("extension"), none.alias("part"), kind)
+    overrides = _child_attrs(corpus, "Override", ["PartName", "ContentType"]).select("doc_id", none, F.col("PartName"), kind)
     return defaults.union(overrides).withColumnRenamed("doc_id", "package_id")
 
 
@@ -92,7 +94,8 @@ def with_types(parts: DataFrame, types: DataFrame) -> DataFrame:
     own = types.where("part IS NOT NULL").groupBy("package_id", F.col("part").alias("name")).agg(F.max("type").alias("own"))
     by_extension = types.where("extension IS NOT NULL").groupBy("package_id", "extension").agg(F.max("type").alias("default"))
     extension = F.when(F.instr("name", ".") > 0, F.lower(F.substring_index("name", ".", -1))).otherwise("")
-    return parts.withColumn("extension", extension).join(own, ["package_id", "name"], "left").join(by_extension, ["package_id", "extension"], "left").withColumn("content_type", F.coalesce("own", "default")).drop("own", "default", "extension")
+    both = parts.withColumn("extension", extension).join(own, ["package_id", "name"], "left").join(by_extension, ["package_id", "extension"], "left")
+    return both.withColumn("content_type", F.coalesce("own", "default")).drop("own", "default", "extension")
 
 
 def is_xml_part(name: Column, content_type: Column) -> Column:
@@ -115,7 +118,15 @@ def relationships(parts: DataFrame) -> DataFrame:
     base = F.regexp_replace(source, "[^/]*$", "")
     target = F.when(F.col("Target").startswith("/"), F.col("Target")).otherwise(F.concat(base, F.col("Target")))
     resolved = F.when(F.coalesce("TargetMode", F.lit("")) == "External", None).otherwise(clean_path(target))
-    return found.select(F.col("doc_id.package_id").alias("package_id"), source.alias("source_part"), F.col("Id").alias("id"), F.col("Type").alias("type"), F.col("Target").alias("target"), F.coalesce("TargetMode", F.lit("")).alias("mode"), resolved.alias("resolved"))
+    return found.select(
+        F.col("doc_id.package_id").alias("package_id"),
+        source.alias("source_part"),
+        F.col("Id").alias("id"),
+        F.col("Type").alias("type"),
+        F.col("Target").alias("target"),
+        F.coalesce("TargetMode", F.lit("")).alias("mode"),
+        resolved.alias("resolved"),
+    )
 
 
 def _local_children(out, names, wanted: tuple[str, ...]) -> list[tuple[str, dict[str, str]]]:
@@ -169,7 +180,8 @@ def _types(raw: bytes | None) -> tuple[dict, dict]:
     return {a.get("PartName"): a.get("ContentType") for n, a in rows if n == "Override"}, by_extension
 
 
-_PART = "struct<name:string,content_type:string,root:string,nodes:int,rels:array<struct<id:string,type:string,target:string,mode:string,resolved:string>>,format:string,verdict:string,value:string>"
+_REL = "array<struct<id:string,type:string,target:string,mode:string,resolved:string>>"
+_PART = f"struct<name:string,content_type:string,root:string,nodes:int,rels:{_REL},format:string,verdict:string,value:string>"
 
 
 def process_packages(packages: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -181,9 +193,8 @@ def process_packages(packages: DataFrame, schemas: dict | None = None) -> DataFr
     broken archive or list of content types makes a package NOT_A_PACKAGE, an XML part that is not well-formed makes it
     NOT_WELL_FORMED. A package is opened, parsed and projected in its own row."""
     kind = packages.schema["package_id"].dataType
-    rel = "array<struct<id:string,type:string,target:string,mode:string,resolved:string>>"
     out = T.StructType([T.StructField("package_id", kind)]).add("package_verdict", "string").add("reason", "string")
-    out = out.add("rels", T._parse_datatype_string(rel)).add("parts", T._parse_datatype_string(f"array<{_PART}>"))
+    out = out.add("rels", T._parse_datatype_string(_REL)).add("parts", T._parse_datatype_string(f"array<{_PART}>"))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -12,7 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 from arborq.operators.process import process
 
 
-def process_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], *, validating: bool = False, id_col: str = "doc_id", source_col: str = "source", checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+def process_stream(
+    stream: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    *,
+    validating: bool = False,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Starts a query that gives ``sink`` the verdicts of each micro-batch, with its number for exactly-once writes."""
     verdicts = process(stream, validating=validating, id_col=id_col, source_col=source_col)
     writer = verdicts.writeStream.foreachBatch(sink)
@@ -21,7 +30,16 @@ def process_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], *,
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def verdict_counts(stream: DataFrame, time_col: str, *, width: str = "5 minutes", late: str = "10 minutes", validating: bool = False, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def verdict_counts(
+    stream: DataFrame,
+    time_col: str,
+    *,
+    width: str = "5 minutes",
+    late: str = "10 minutes",
+    validating: bool = False,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+) -> DataFrame:
     """``(begin, verdict, n)`` by windows of event time; rows later than ``late`` behind the newest are left out of windows that
     are closed. Works on tables too, where nothing is late."""
     rows = process(stream, validating=validating, id_col=id_col, source_col=source_col, keep=[time_col]).withWatermark(time_col, late)
