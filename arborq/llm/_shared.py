@@ -57,20 +57,27 @@ def discard(df: DataFrame) -> None:
 HOT_ROWS = 512
 
 
-def hot_keys(sizes: DataFrame, key: str, n_col: str) -> DataFrame:
-    """``(key, salts)`` of the keys of ``sizes(key, n)`` that hold over :data:`HOT_ROWS` rows; broadcast where their counted
-    number is at most :data:`MAX_BROADCAST_IDS`."""
-    hot = sizes.where(F.col(n_col) > HOT_ROWS).select(key, F.ceil(F.col(n_col) / HOT_ROWS).cast("int").alias("salts"))
-    return F.broadcast(hot) if hot.count() <= MAX_BROADCAST_IDS else hot
+def hot_keys(sizes: DataFrame, key: str, n_col: str) -> DataFrame | None:
+    """``(key, salts)`` of the keys of ``sizes(key, n)`` that hold over :data:`HOT_ROWS` rows, None if there are none; broadcast
+    where their counted number is at most :data:`MAX_BROADCAST_IDS`."""
+    salts = F.ceil(F.col(n_col) / HOT_ROWS).cast("int").alias("salts")
+    hot = materialise(sizes.where(F.col(n_col) > HOT_ROWS).select(key, salts), "hot")
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= MAX_BROADCAST_IDS else hot
 
 
-def spread(df: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+def spread(df: DataFrame, hot: DataFrame | None, key: str, by: str) -> DataFrame:
     """``df`` with ``salt``, from 0 up to the key's ``salts`` by a hash of ``by``; 0 for keys that aren't hot."""
-    return df.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    if hot is None:
+        return df.withColumn("salt", F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))
+    return df.join(hot, key, "left").withColumn("salt", salt).drop("salts")
 
 
-def replicate(per_key: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+def replicate(per_key: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
     """The other side of a join with :func:`spread`: a hot key's row once for each ``salt``."""
+    if hot is None:
+        return per_key.withColumn("salt", F.lit(0))
     salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
     return per_key.join(hot, key, "left").withColumn("salt", salts).drop("salts")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, hot_keys, materialise, replicate, spread
+from ._shared import MAX_BROADCAST_IDS, discard, hot_keys, materialise, replicate, spread
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = salted.join(known, ["a", "salt"]).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         step = materialise(step, "steps")
-        sizes = step.groupBy("comp").agg(F.count("*").alias("n"))
-        large = hot_keys(sizes, "comp", "n")
-        named = sizes.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp").select("comp", "far")
-        jump = spread(step, large, "comp", "node").join(replicate(named, large, "comp"), ["comp", "salt"])
-        after = materialise(jump.select("node", "was", F.least("comp", "far").alias("comp")), "labels")
+        after = _jumped(step, labels)
         changed = after.where("was <> comp").limit(1).count()
         discard(labels)
-        discard(step)
         labels = after
         if not changed:
             discard(both)
             return labels.select("node", "comp")
+
+
+def _jumped(step: DataFrame, labels: DataFrame) -> DataFrame:
+    """``step(node, was, comp)`` with each label followed once more, where it is a node with a smaller label itself. Such
+    labels get few soon, and are broadcast then; while they are many, the rows of a label are dealt over several tasks."""
+    moved = labels.where("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    moved = materialise(moved.join(step.select("comp").distinct(), "comp", "left_semi"), "moved")
+    n = moved.count()
+    if not n:
+        return step
+    if n <= MAX_BROADCAST_IDS:
+        both = step.join(F.broadcast(moved), "comp", "left")
+    else:
+        large = hot_keys(step.groupBy("comp").agg(F.count("*").alias("n")), "comp", "n")
+        both = spread(step, large, "comp", "node").join(replicate(moved, large, "comp"), ["comp", "salt"], "left")
+    return materialise(both.select("node", "was", F.coalesce("far", "comp").alias("comp")), "labels")
