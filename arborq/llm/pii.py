@@ -89,18 +89,15 @@ def _sigmoid(x):
 
 
 def _tanh(x, work):
-    """tanh of ``x`` in place, by a ratio of polynomials: within 0.002, a fraction of the time of the function itself."""
-    np.clip(x, -3.9, 3.9, out=x)
+    """tanh of ``x`` in place, by a ratio of polynomials: within 0.025, a fraction of the time of the function itself. What the
+    network finds with it on held-out texts is what sets its margin."""
+    np.clip(x, -3.0, 3.0, out=x)
     y = np.multiply(x, x, out=work)
-    low = y * 15
-    low += 420
-    low *= y
-    low += 945
+    low = y * 9
+    low += 27
     x /= low
-    np.add(y, 105, out=low)
-    low *= y
-    low += 945
-    x *= low
+    y += 27
+    x *= y
 
 
 class Network:
@@ -444,12 +441,14 @@ def added_spans(net: Network, texts: list[str], base: list[list[tuple[int, int,
     edge = (WINDOW - STRIDE) / 2
     coded = [char_ids(t) for t in texts]
     counts = [max(1, -(-(len(ids) - (WINDOW - STRIDE)) // STRIDE)) if len(ids) else 0 for ids in coded]
-    todo = [(i, k) for i, n in enumerate(counts) for k in range(n)]
+    # windows of a size stand together, so that the last ones of texts are not filled up with blanks
+    size = lambda w: min(WINDOW, len(coded[w[0]]) - w[1] * STRIDE)
+    todo = sorted(((i, k) for i, n in enumerate(counts) for k in range(n)), key=size)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     cut: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]
     for lo in range(0, len(todo), batch):
         part = todo[lo : lo + batch]
-        chars = np.full((len(part), WINDOW), 32, np.int16)
+        chars = np.full((len(part), min(WINDOW, size(part[-1]) + 1)), 32, np.int16)
         for row, (i, k) in zip(chars, part, strict=True):
             piece = coded[i][k * STRIDE : k * STRIDE + WINDOW]
             row[: len(piece)] = piece
