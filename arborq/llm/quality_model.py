@@ -200,7 +200,8 @@ def trained(docs: DataFrame, marks: DataFrame) -> FourierModel:
 
 
 def labels(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y"))
+    """``(id, y)``; rows of ``labels`` that say the same of a document count once."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")).distinct()
 
 
 def mark(docs: DataFrame, model: FourierModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -222,9 +222,9 @@ def mark(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", thresh
 
 def labelled_documents(spark, sf_dir, docs: DataFrame | None = None, *, max_rows: int = 16_000) -> DataFrame:
     """Texts of ``documents`` with their toxic label: about ``max_rows`` of them, by a hash of the id. The labels are
-    chosen first and are few enough to broadcast, so no text moves."""
+    chosen first, each once, and are few enough to broadcast, so no text moves."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    marks = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "toxic")
+    marks = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "toxic").distinct()
     chance = min(1.0, max_rows / max(marks.count(), 1))
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(chance * (1 << 20)))
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(marks), "id")
