@@ -26,6 +26,8 @@ from ._words import chunks
 
 #: Classes of lengths for the fit.
 CLASSES = 128
+#: Bytes of text that are cut at a time (or one text): the temporary arrays of learning ever new words are some 100 times as large.
+CUT_BYTES = 1 << 18
 #: Counts of so many partitions are broadcast at most (8 bytes a length: 34 MB for 2048 tokens); those of more join by shuffle.
 MAX_BROADCAST_PARTS = 2048
 
@@ -173,7 +175,7 @@ def _cutter(path: str, seq_len: int, end_id: int, with_ids: bool):
 
         part, seen, coder = TaskContext.get().partitionId(), np.zeros(seq_len + 1, np.int64), WordBPE(path)
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
+            for lo, hi in chunks(batch.column(1), CUT_BYTES):
                 ids_of = coder.encode(batch.column(1).slice(lo, hi - lo))
                 rows, parts = [], []
                 for row, own in enumerate(ids_of):
@@ -191,21 +193,22 @@ def _cutter(path: str, seq_len: int, end_id: int, with_ids: bool):
                     at = np.concatenate([[0], np.cumsum(cols[3])])
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names + ["ids"] * with_ids)
+            del batch  # else it stays while the next one is read
 
     return run
 
 
 def _placer(places):
-    def run(batches):
-        keys, first, offset = places
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(keys, length << 40 | rank, "right") - 1
-            out = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "rank"]
-            names = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(first[at] + rank - (keys[at] & ((1 << 40) - 1))), pa.array(offset[at])], [*names, "sequence_id", "offset"])
+    """``(length, rank) -> (sequence_id, offset)``, for whole columns: nothing else of a piece goes through Python."""
+    keys, first, offset = places
 
-    return run
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, length << 40 | rank, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(first[at] + rank - (keys[at] & ((1 << 40) - 1))), pa.array(offset[at])], ["sequence_id", "offset"])
+
+    return place
 
 
 def _before(counts: DataFrame, seq_len: int) -> DataFrame:
@@ -249,10 +252,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, seq_len: int = 2048,
     places = _places(plan(hist))
     before = _before(counts, seq_len)
     joined = pieces.join(F.broadcast(before) if before.count() <= MAX_BROADCAST_PARTS else before, "part")
-    rank = (F.get("before", F.col("length").cast("int")) + F.col("nth")).alias("rank")
-    ranked = joined.select("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, rank)
-    out_schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_placer(places), out_schema).withColumnRenamed("id", id_col)
+    rank = F.get("before", F.col("length").cast("int")) + F.col("nth")
+    placed = joined.withColumn("place", _placer(places)("length", rank))
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "place.sequence_id", "place.offset")
 
 
 def op7_packing(spark, sf_dir):

@@ -259,6 +259,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.85 * sum(truth.values()) > 0 and false <= 0.01 * len(truth)
 
 
+def test_ids_are_placed_outside_python(spark, small):
+    """Of a piece only its length and rank go through Python when it is placed, so no task holds the ids in a worker and in Arrow buffers."""
+    plan = packing.pack(spark.read.parquet(f"{small}/documents.parquet"), with_ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [place(") == 1, plan
+
+
+def test_memory_of_cutting(small, monkeypatch):
+    """Texts of 1.4 MB with ever new words are cut in less than 60 MB besides the tokenizer."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+    from arborq.llm import word_bpe
+
+    coder = word_bpe.WordBPE(packing.tokenizer_path())
+    monkeypatch.setattr(word_bpe, "WordBPE", lambda path: coder)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + i % 26)}ing{chr(97 + i // 26 % 26)}er" for i in range(200)) for k in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(texts)], ["id", "text"])
+    run = packing._cutter("", 2048, 0, True)
+    small_text = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["a"])], ["id", "text"])
+    assert [r.num_rows for r in run([small_text])] == [1]  # tables of powers and the like stay
+    tracemalloc.start()
+    try:
+        assert sum(r.num_rows for r in run([batch])) == 700
+        assert tracemalloc.get_traced_memory()[1] < 60e6, tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+
+
 def test_packed_rows(spark, small):
     """Pieces, checksums and places of the query against the tokenizers library."""
     import public_tokenizers
