@@ -9,7 +9,8 @@ depends on the lengths that occur and not on the number of documents.
 
 Each piece then finds its place from its length and its rank among the pieces of that length; ranks
 come from counts of each partition, so no length, however common, meets in one task. These counts are one row a
-partition and join the pieces by it: broadcast up to ``MAX_BROADCAST_PARTS`` partitions, by shuffle beyond."""
+partition and join the pieces by it: broadcast up to ``MAX_BROADCAST_PARTS`` partitions, by shuffle beyond. The blocks of
+a length are arrays of a broadcast row, in which Spark looks a rank up by halving: no piece meets a Python worker again."""
 
 from __future__ import annotations
 
@@ -198,17 +199,27 @@ def _cutter(path: str, seq_len: int, end_id: int, with_ids: bool):
     return run
 
 
-def _placer(places):
-    """``(length, rank) -> (sequence_id, offset)``, for whole columns: nothing else of a piece goes through Python."""
-    keys, first, offset = places
+def _starts(spark, places, seq_len: int) -> tuple[DataFrame, int]:
+    """``places`` as ``(length, starts)``, a row for each length with the struct of its blocks' first ranks, first sequences and
+    offsets; and the most blocks of a length."""
+    keys, *rest = places
+    at = np.searchsorted(keys, np.arange(seq_len + 2) << 40)
+    columns = [keys & ((1 << 40) - 1), *rest]
 
-    @F.arrow_udf("sequence_id long, offset long")
-    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
-        at = np.searchsorted(keys, length << 40 | rank, "right") - 1
-        return pa.StructArray.from_arrays([pa.array(first[at] + rank - (keys[at] & ((1 << 40) - 1))), pa.array(offset[at])], ["sequence_id", "offset"])
+    @F.arrow_udf("firsts array<long>, sequences array<long>, offsets array<long>")
+    def place(length: pa.Array) -> pa.Array:
+        own = length.to_numpy(zero_copy_only=False)
+        lists = [pa.array([c[at[x] : at[x + 1]] for x in own], pa.list_(pa.int64())) for c in columns]
+        return pa.StructArray.from_arrays(lists, ["firsts", "sequences", "offsets"])
 
-    return place
+    lengths = spark.range(1, seq_len + 1, numPartitions=1).select(F.col("id").alias("length"))
+    return lengths.withColumn("starts", place("length")), int(np.diff(at).max())
+
+
+def _last_at_most(values, most: int, x):
+    """Position of the last of the rising ``values`` (at most ``most``, the first one at most ``x``) that isn't above ``x``, in log2 steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, most.bit_length()) - 1, -1, -1)])
+    return F.reduce(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step) <= x, at + step).otherwise(at))
 
 
 def _before(counts: DataFrame, seq_len: int) -> DataFrame:
@@ -249,12 +260,14 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, seq_len: int = 2048,
     hist = np.zeros(seq_len + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most seq_len rows
         hist[r["length"]] = r["n"]
-    places = _places(plan(hist))
+    starts, most = _starts(docs.sparkSession, _places(plan(hist)), seq_len)
     before = _before(counts, seq_len)
-    joined = pieces.join(F.broadcast(before) if before.count() <= MAX_BROADCAST_PARTS else before, "part")
-    rank = F.get("before", F.col("length").cast("int")) + F.col("nth")
-    placed = joined.withColumn("place", _placer(places)("length", rank))
-    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "place.sequence_id", "place.offset")
+    # nothing of a piece goes through Python here: a row that waits for a worker is kept whole, its ids and ``before`` too
+    ranked = pieces.join(F.broadcast(before) if before.count() <= MAX_BROADCAST_PARTS else before, "part")
+    ranked = ranked.withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("nth")).drop("before")
+    placed = ranked.join(F.broadcast(starts), "length").withColumn("at", _last_at_most(F.col("starts.firsts"), most, F.col("rank")))
+    sequence = F.get("starts.sequences", "at") + F.col("rank") - F.get("starts.firsts", "at")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, sequence.alias("sequence_id"), F.get("starts.offsets", "at").alias("offset"))
 
 
 def op7_packing(spark, sf_dir):

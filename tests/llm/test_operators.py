@@ -265,6 +265,23 @@ def test_ids_are_placed_outside_python(spark, small):
     assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [place(") == 1, plan
 
 
+def test_no_piece_waits_for_a_worker(spark, small):
+    """Rows that a Python worker is asked about wait whole, 16 KB of counts each among them; so only lengths are asked about."""
+    plan = packing.pack(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :].splitlines()[1:]
+    assert len(below) == 1 and "Range (1, 2049" in below[0], plan
+
+
+def test_places_of_ranks(spark):
+    """Ranks are looked up as numpy does it, whatever the number of a length's blocks."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    for n in (1, 2, 3, 7, 8, 9, 100):
+        firsts = [0, *sorted(rng.choice(np.arange(1, 500), n - 1, replace=False).tolist())]
+        df = spark.range(510).withColumn("v", F.array(*map(F.lit, firsts)))
+        got = {r.id: r.at for r in df.select("id", packing._last_at_most(F.col("v"), n, F.col("id")).alias("at")).collect()}
+        assert got == {i: int(np.searchsorted(firsts, i, "right")) - 1 for i in range(510)}
+
+
 def test_memory_of_cutting(small, monkeypatch):
     """Texts of 1.4 MB with ever new words are cut in less than 60 MB besides the tokenizer."""
     import tracemalloc
