@@ -3,7 +3,8 @@
 Each of ``projections`` random directions keeps one sorted array of its projections, with no buckets. A query opens
 a window around its own projection in each of them, and widens all windows step by step (virtual
 rehashing). A vector that lies in at least ``share`` of the windows collides often enough to be
-verified; widening ends when ``6 + enough * rows`` vectors have been, or the windows cover everything.
+verified; widening ends when ``6 + enough * rows`` vectors have been, or the windows cover everything. Collisions are counted by
+comparing the ranks of all vectors with the windows' ends, 16 directions at a time.
 Verified vectors get their exact cosine in double precision.
 
 Vectors lie in blocks of bounded size, each with its own sorted arrays; every block meets every
@@ -46,43 +47,85 @@ def _valid(batches):
 class SortedProjections:
     """The index of one block of vectors."""
 
+    #: Queries whose windows are looked up together, and directions whose ranks are compared together (half a MB of a block).
+    GROUP, TILE = 64, 16
+
     def __init__(self, vectors: np.ndarray, projections: int, seed: int):
         self.vectors = vectors
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.directions = np.random.Generator(np.random.PCG64(seed)).normal(size=(vectors.shape[1], projections))
         values = (vectors / self.norms[:, None]) @ self.directions
-        self.order = np.ascontiguousarray(values.argsort(0, kind="stable").T.astype(np.int32))
+        n = len(vectors)
+        #: The place of each vector in each sorted array: it lies in a window if that place does.
+        self.ranks = np.empty((projections, n), np.uint16 if n < 1 << 16 else np.uint32)
+        for rank, order in zip(self.ranks, values.argsort(0, kind="stable").T, strict=True):
+            rank[order] = np.arange(n)
         self.sorted = np.ascontiguousarray(np.sort(values, 0).T)
 
-    def candidates(self, query: np.ndarray, *, share: float, enough: float, first: float = 0.7, widen: float = 1.08) -> np.ndarray:
-        """Rows that share enough windows with the query."""
-        n, at = len(self.vectors), (query / np.sqrt((query * query).sum())) @ self.directions
-        m = len(at)
+    def _windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First places and sizes of the windows around ``at``, (queries, directions)."""
+        lo, hi = (np.array([s.searchsorted(x, side) for s, x in zip(self.sorted, (at + by).T, strict=True)]).T for by, side in ((-half, "left"), (half, "right")))
+        return lo.astype(self.ranks.dtype), (hi - lo).astype(self.ranks.dtype)
+
+    def _counts(self, lo: np.ndarray, sizes: np.ndarray, work: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """In how many windows each vector lies."""
+        counts = np.zeros(self.ranks.shape[1], np.uint8 if len(lo) < 256 else np.uint32)
+        for t in range(0, len(lo), self.TILE):
+            ranks = self.ranks[t : t + self.TILE]
+            past, inside = (w[: len(ranks)] for w in work)
+            np.subtract(ranks, lo[t : t + self.TILE, None], out=past)  # wraps below the window
+            np.less(past, sizes[t : t + self.TILE, None], out=inside)
+            counts += inside.view(np.uint8).sum(0, dtype=counts.dtype)
+        return counts
+
+    def candidates(self, queries: np.ndarray, *, share: float, enough: float, first: float = 0.7, widen: float = 1.08):
+        """For each query, the rows that share enough windows with it, once they are widened so often that there are enough of them.
+
+        Rows only come in as windows widen, so how often is sought from where the query before ended, up or down."""
+        n, m = self.ranks.shape[1], len(self.ranks)
         need, goal = int(np.ceil(share * m)), min(n, 6 + enough * n)
-        counts = np.zeros(n, np.int64)
-        lo = hi = None
-        half = first
-        while True:
-            new_lo = np.array([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at, strict=True)])
-            new_hi = np.array([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at, strict=True)])
-            if lo is None:
-                rings = [o[a:b] for o, a, b in zip(self.order, new_lo, new_hi, strict=True)]
-            else:
-                rings = [o[a:b] for o, a, b in zip(self.order, new_lo, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi, strict=True)]
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            found = counts >= need
-            if found.sum() >= goal or (new_hi - new_lo).min() == n:
-                return np.flatnonzero(found)
-            lo, hi, half = new_lo, new_hi, half * widen
+        halves, often = [first], 0
+        work = np.empty((self.TILE, n), self.ranks.dtype), np.empty((self.TILE, n), bool)
+        for g in range(0, len(queries), self.GROUP):
+            group = queries[g : g + self.GROUP]
+            at = np.array([(q / np.sqrt((q * q).sum())) @ self.directions for q in group])
+            windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i in range(len(group)):
+
+                def found(k):
+                    while len(halves) <= k:
+                        halves.append(halves[-1] * widen)
+                    if k not in windows:
+                        windows[k] = self._windows(at, halves[k])
+                    lo, sizes = windows[k]
+                    rows = np.flatnonzero(self._counts(lo[i], sizes[i], work) >= need)  # noqa: B023
+                    return rows, len(rows) >= goal or int(sizes[i].min()) == n  # noqa: B023
+
+                rows, ends = found(often)
+                while ends and often and (less := found(often - 1))[1]:
+                    rows, often = less[0], often - 1
+                while not ends:
+                    often += 1
+                    rows, ends = found(often)
+                yield rows
+
+    def search_all(self, queries: np.ndarray, k: int, **how):
+        """For each query, rows and cosines of the ``k`` nearest found, at least; equal ones at the end stay."""
+        for query, rows in zip(queries, self.candidates(queries, **how), strict=True):
+            size = np.sqrt((query * query).sum())
+            if len(rows) > k:  # what may be among them by a product, which sums in another order; then the exact ones
+                own = self.vectors[rows]
+                rough = (own @ query) / (self.norms[rows] * size)
+                rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+            score = (self.vectors[rows] * query).sum(1) / (self.norms[rows] * size)
+            if len(rows) > k:
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[keep], score[keep]
+            yield rows, score
 
     def search(self, query: np.ndarray, k: int, **how) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` nearest found, at least; equal ones at the end stay."""
-        rows = self.candidates(query, **how)
-        score = (self.vectors[rows] * query).sum(1) / (self.norms[rows] * np.sqrt((query * query).sum()))
-        if len(rows) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[keep], score[keep]
-        return rows, score
+        """:meth:`search_all` of one query."""
+        return next(self.search_all(query[None], k, **how))
 
 
 def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, projections: int = 128, share: float = 0.6, enough: float = 0.15, seed: int = 9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -112,8 +155,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, projections: int
         out = []
         if len(data) and len(asking):
             block = SortedProjections(np.stack(data["vec"].to_list()), projections, seed)
-            for q, vec in zip(asking["q"], asking["vec"], strict=True):
-                found, score = block.search(np.asarray(vec), k + 1, share=share, enough=enough)
+            for q, (found, score) in zip(asking["q"], block.search_all(np.stack(asking["vec"].to_list()), k + 1, share=share, enough=enough), strict=True):
                 out += [(q, data["ids"].iat[r], s) for r, s in zip(found.tolist(), score.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["q", "ids", "score"])
 
