@@ -17,6 +17,13 @@ def test_stages(spark, small):
     assert last.select("doc_id").distinct().count() <= kept.count()
 
 
+def test_no_ids_wait_for_a_worker(spark, small):
+    """When pieces are placed, no row that holds a piece's ids waits for a Python worker: it is asked about lengths only."""
+    plan = cp.packing_stage(spark, spark.read.parquet(f"{small}/documents.parquet"), small)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :].splitlines()[1:]
+    assert len(below) == 1 and "Range (1, 2049" in below[0], plan
+
+
 def rows_of(df):
     return sorted((tuple(r) for r in df.select(*cp.COLUMNS).collect()), key=str)
 
