@@ -1,11 +1,13 @@
 """Helpers that several operators of this subpackage use: the shared folder, written
-intermediate tables, and size-checked semi joins."""
+intermediate tables, size-checked semi joins, and bounds on the memory of Python passes."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,5 +95,38 @@ def fold(doc_id, k: int):
     return F.crc32(doc_id.cast("string")) % k
 
 
+#: Bytes of rows that go to a Python worker at a time (or one row).
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold about :data:`BATCH_BYTES` (a smaller bound that was set stays). Spark's own
+    bound is 64 MB, and an executor keeps buffers of several times a batch outside its heap for each task."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_CONF))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run``, for mapInArrow; after each partition the worker gives freed memory back, since it stays for other tasks."""
+
+    def passed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return passed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, hot_keys, materialise, replicate, restrict, spread, table
+from ._shared import discard, hot_keys, lean, materialise, replicate, restrict, spread, table
 from ._words import chunks, mix, shingles_of
 from .components import connected_components
 
@@ -84,15 +84,15 @@ def with_set(docs: DataFrame, *, text_col: str = "text", shingle: int = 5) -> Da
         import xxhash
 
         for batch in batches:
-            digests = []
             for lo, hi in chunks(batch.column(at)):
-                g, ends = shingles_of(batch.column(at).slice(lo, hi - lo), shingle)
+                part = batch.slice(lo, hi - lo)
+                g, ends = shingles_of(part.column(at), shingle)
                 raw = memoryview(g)
-                digests += [xxhash.xxh3_128_digest(raw[a:b]) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "set"])
+                digests = [xxhash.xxh3_128_digest(raw[a:b]) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())], [*part.schema.names, "set"])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("set", "binary"))
+    return docs.mapInArrow(lean(run), type(schema)([*schema.fields]).add("set", "binary"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, half_rows: int = 4, collections: int = 16, seed: int = 4) -> DataFrame:
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id are linked with nothing: ``component_id`` is null, ``kept`` true. Rows that repeat an
     id are judged by their own texts under the common id; ``kept`` can be true for several of them. Other columns are ignored; an empty table gives none."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialise(source.mapInArrow(_sketcher(shingle, half_rows, collections, seed), "id long, n long, set binary, keys array<long>"), "sketch")
+    sketches = materialise(source.mapInArrow(lean(_sketcher(shingle, half_rows, collections, seed)), "id long, n long, set binary, keys array<long>"), "sketch")
 
     # one representative for all rows with the same set
     classes = materialise(sketches.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.min("n").alias("n")), "classes")
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     reps = materialise(members.select("rep").distinct(), "reps")
     texts = restrict(source.withColumnRenamed("id", "rep"), reps, reps.count(), "rep")
-    sets = materialise(texts.mapInArrow(_set_maker(shingle), "rep long, items array<long>").dropDuplicates(["rep"]), "sets")
+    sets = materialise(texts.mapInArrow(lean(_set_maker(shingle)), "rep long, items array<long>").dropDuplicates(["rep"]), "sets")
     discard(reps)
 
     links = _verified_links(members, sets, percent)

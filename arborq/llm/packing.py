@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import lean, materialise, table
 from ._words import chunks
 
 #: Classes of lengths for the fit.
@@ -237,7 +237,7 @@ def _before(counts: DataFrame, seq_len: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(out.ravel()))], ["part", "before"])
 
     lists = own.groupBy("part").agg(F.collect_list("e").alias("own"))  # at most seq_len entries
-    return materialise(lists.mapInArrow(dense, "part long, before array<long>"), "before")
+    return materialise(lists.mapInArrow(lean(dense), "part long, before array<long>"), "before")
 
 
 def tokenizer_path() -> str:
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, seq_len: int = 2048,
     empty table gives none."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long, part long, nth long" + ", ids array<int>" * with_ids
-    pieces = materialise(rows.mapInArrow(_cutter(tokenizer or tokenizer_path(), seq_len, end_id, with_ids), schema), "pieces")
+    pieces = materialise(rows.mapInArrow(lean(_cutter(tokenizer or tokenizer_path(), seq_len, end_id, with_ids)), schema), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     hist = np.zeros(seq_len + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most seq_len rows

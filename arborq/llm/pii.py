@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import lean, table
 from ._words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -533,7 +533,7 @@ def find_pii(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *counts, sha, spans, pa.array([len(a) for a in added], pa.int64())], ["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
@@ -543,10 +543,9 @@ def redact(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            column = batch.column(at).cast(pa.string())
-            out = []
-            for lo, hi in chunks(column):
-                texts = column.slice(lo, hi - lo).to_pylist()
+            for lo, hi in chunks(batch.column(at)):
+                part, out = batch.slice(lo, hi - lo), []
+                texts = part.column(at).cast(pa.string()).to_pylist()
                 base, added = _spans_of(net, [t or "" for t in texts])
                 for text, own, more in zip(texts, base, added, strict=True):
                     parts, end = [], 0
@@ -555,10 +554,10 @@ def redact(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> D
                             parts += [text[end:a], f"[{KINDS[kind]}]"]
                         end = max(end, b)
                     out.append(text if not parts else "".join(parts) + text[end:])
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                columns = [pa.array(out, pa.string()) if i == at else part.column(i) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_pii(spark, sf_dir):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, fold, materialise, restrict, table
+from ._shared import discard, fold, lean, materialise, restrict, table
 from ._words import chunks, mix, range_hashes, text_bytes, word_bounds
 
 #: Bins of the raw score between -0.5 and 1.5.
@@ -93,7 +93,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat], ["id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, x array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, *, n_features: int = 256, width: float = 4.0, ridge: fl
     # partitions, so that a run on the same partitions gives the same bits
     zero, plus = F.array_repeat(F.lit(0.0), n_features + 2), lambda t, v: F.zip_with(t, v, lambda x, y: x + y)
     added = F.aggregate(F.sort_array(F.collect_list(F.struct("k", "v"))), zero, lambda t, e: plus(t, e["v"]))
-    partial = fit_rows.select("x", F.col("y").cast("int")).mapInArrow(sums, "i long, v array<double>").withColumn("k", F.spark_partition_id())
+    partial = fit_rows.select("x", F.col("y").cast("int")).mapInArrow(lean(sums), "i long, v array<double>").withColumn("k", F.spark_partition_id())
     some = partial.groupBy("i", F.floor(F.col("k") / 64).cast("int").alias("k0")).agg(added.alias("v")).withColumnRenamed("k0", "k")
     total = some.groupBy("i").agg(added.alias("v")).orderBy("i").collect()
     system = np.array([r["v"] for r in total])
@@ -173,7 +173,7 @@ def fit(rows: DataFrame, *, n_features: int = 256, width: float = 4.0, ridge: fl
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used].astype(np.int64)), pa.array(good[used].astype(np.int64))], ["bin", "n", "good"])
 
-    bins = rows.where("calibrate").select("x", F.col("y").cast("int")).mapInArrow(binned, "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
+    bins = rows.where("calibrate").select("x", F.col("y").cast("int")).mapInArrow(lean(binned), "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
     if bins:
         centre = np.array([(r["bin"] + 0.5) * 2 / BINS - 0.5 for r in bins])
         n, good = (np.array([r[c] for r in bins], float) for c in ("n", "good"))
@@ -210,14 +210,14 @@ def mark(docs: DataFrame, model: FourierModel, *, text_col: str = "text", thresh
 
     def run(batches):
         for batch in batches:
-            column = batch.column(at)
-            parts = [model.score(statistics(column.slice(lo, hi - lo))) for lo, hi in chunks(column)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            more = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "predicted"])
+            for lo, hi in chunks(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                score = model.score(statistics(part.column(at)))
+                more = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "score", "predicted"])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double").add("predicted", "integer"))
+    return docs.mapInArrow(lean(run), type(schema)([*schema.fields]).add("score", "double").add("predicted", "integer"))
 
 
 def score_documents(spark, sf_dir, docs: DataFrame, *, threshold: float = 0.3) -> DataFrame:

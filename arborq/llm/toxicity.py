@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialise, table
+from ._shared import discard, lean, materialise, table
 from ._words import chunks, range_hashes, text_bytes, word_bounds
 
 GRADES = 4
@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 16_000, max_features: int = 2048
     sample = materialise(chosen_rows.select("text", "toxic", half), "toxic-sample")
     totals = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}  # four rows
     n = lambda label, *halves: sum(totals.get((h, label), 0) for h in halves)
-    counted = materialise(sample.mapInArrow(_feature_counts, "f long, a0 long, b0 long, a1 long, b1 long").groupBy("f").agg(*[F.sum(c).alias(c) for c in _COUNTS]).where("a0 + a1 >= 3"), "toxic-features")
+    counted = materialise(sample.mapInArrow(lean(_feature_counts), "f long, a0 long, b0 long, a1 long, b1 long").groupBy("f").agg(*[F.sum(c).alias(c) for c in _COUNTS]).where("a0 + a1 >= 3"), "toxic-features")
     a, b = ([F.col(f"{c}{h}") for h in (0, 1)] for c in "ab")
     vocabulary = _telling(counted, a[0] + a[1], b[0] + b[1], n(1, 0, 1), n(0, 0, 1), max_features, min_evidence)
     of_half = [_telling(counted, a[h], b[h], n(1, h), n(0, h), max_features, min_evidence / 2) for h in (0, 1)]
@@ -175,7 +175,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 16_000, max_features: int = 2048
                     held = np.where(half[lo:hi] == h, np.bincount(r, c, hi - lo), held)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *lists, pa.array(held)], ["toxic", "f", "count", "held"])
 
-    got = sample.mapInArrow(chosen, "toxic int, f array<int>, count array<int>, held double").collect()  # at most about max_rows short rows
+    got = sample.mapInArrow(lean(chosen), "toxic int, f array<int>, count array<int>, held double").collect()  # at most about max_rows short rows
     discard(sample)
     toxic = np.array([r["toxic"] for r in got], np.int64)
     sizes = [len(r["f"]) for r in got]
@@ -202,7 +202,7 @@ def severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= threshold)], ["id", "severity", "p_toxic", "grade", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, severity double, p_toxic double, grade int, toxic boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, severity double, p_toxic double, grade int, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def mark(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -211,13 +211,13 @@ def mark(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", thresh
 
     def run(batches):
         for batch in batches:
-            column = batch.column(at)
-            p = [model.above(column.slice(lo, hi - lo))[:, 0] for lo, hi in chunks(column)]
-            toxic = np.concatenate(p) >= threshold if p else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], [*batch.schema.names, "toxic"])
+            for lo, hi in chunks(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                toxic = model.above(part.column(at))[:, 0] >= threshold
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(toxic)], [*part.schema.names, "toxic"])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("toxic", "boolean"))
+    return docs.mapInArrow(lean(run), type(schema)([*schema.fields]).add("toxic", "boolean"))
 
 
 def labelled_documents(spark, sf_dir, docs: DataFrame | None = None, *, max_rows: int = 16_000) -> DataFrame:

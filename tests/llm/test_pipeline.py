@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table: what goes, what stays and what is rewritten."""
 
 import corpus_pipeline as cp
+import pyarrow as pa
 from test_operators import brute_components
 
 from arborq.llm import pii, quality_model, toxicity
@@ -77,3 +78,21 @@ def test_redaction(spark, small):
     docs = spark.createDataFrame([(1, "write to a.b@c.org or +1 (499) 555-6503 now", "en", "s", 0), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.pii_stage(spark, docs, small).collect()}
     assert got == {1: ("write to [email] or [phone] now", 31), 2: (None, None)}
+
+
+def test_stages_send_small_batches(spark, small):
+    """Each stage bounds what goes to a worker at a time, however many rows a partition has; a smaller bound that was set stays."""
+    key, wide = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('word ', 400) AS text")
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
+    was = spark.conf.get(key)
+    sizes = lambda: [r.b for r in wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"]) for b in batches), "b long").collect()]
+    try:
+        for _, stage in cp.STAGES:
+            spark.conf.set(key, "64m")
+            stage(spark, docs, small)
+            assert sum(got := sizes()) > 8_000_000 and max(got) < 3 << 20
+        spark.conf.set(key, "512k")
+        cp.toxicity_stage(spark, docs, small)
+        assert spark.conf.get(key) == "512k"
+    finally:
+        spark.conf.set(key, was)

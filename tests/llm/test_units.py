@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -9,9 +11,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from arborq.llm import packing, pii, quality_model
+from arborq.llm import near_dup, packing, pii, quality_model, toxicity
 from arborq.llm._words import chunks, shingles_of, words_of
 from arborq.llm.neighbours import SortedProjections
 from arborq.llm.piece_bpe import Encoder, model_path
@@ -215,3 +218,50 @@ def test_added_span_is_whole_at_every_offset(size):
         for at in range(0, 200):
             text = " " * at + span + " " * 170
             assert pii.added_spans(Marked(), [text], [[]]) == [[(0, at, at + size)]], (size, place, at)
+
+
+class Passes:
+    """Stands for a DataFrame, and keeps the function that is given to mapInArrow."""
+
+    columns, schema = ["doc_id", "text"], StructType().add("doc_id", "long").add("text", "string")
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality", "personal data", "sets"])
+def test_passes_over_texts_return_small_batches(name):
+    """However large a batch comes in, what a worker sends back at a time is bounded, and all rows are there in their order."""
+    ordinal = toxicity.OrdinalModel(toxicity.Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.array([5.0, 6.0, 7.0]))
+    fourier = quality_model.FourierModel(np.zeros(15), np.ones(15), 8, 4.0, 2)
+    passes = {"toxicity": lambda d: toxicity.mark(d, ordinal), "quality": lambda d: quality_model.mark(d, fourier), "personal data": lambda d: pii.redact(d, None), "sets": near_dup.with_set}
+    texts = [None, "", *("word " * 400 for _ in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(passes[name](Passes()).run(iter([batch])))
+    assert max(b.nbytes for b in out) < 3 << 19 < batch.nbytes
+    whole = pa.Table.from_batches(out)
+    assert whole["doc_id"].to_pylist() == batch["doc_id"].to_pylist() and whole["text"].to_pylist() == texts
+
+
+def test_worker_gives_memory_back():
+    """After a pass that freed 200 MB in small parts with one above them still held, the process doesn't keep them."""
+    code = """
+import re
+import numpy as np
+from arborq.llm._shared import lean
+
+rss = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+held = []
+
+def run(batches):
+    own = [np.ones(1 << 13) for _ in range(3200)]  # 64 KB each
+    held.append(np.ones(1 << 13))
+    yield len(own)
+
+before = rss()
+list(lean(run)(iter([])))
+print(rss() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 60, out
