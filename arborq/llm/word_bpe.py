@@ -13,7 +13,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from ._words import range_hashes, text_bytes
+from ._words import WordTable, range_hashes, text_bytes
 from .piece_bpe import PairTable, merge_rounds
 
 #: Words that a Python worker remembers, and ids of them (about 60 and 4 bytes each); then it starts anew.
@@ -39,48 +39,6 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class WordTable:
-    """Hash table from 64-bit word hashes to row numbers, probed for whole arrays."""
-
-    def __init__(self, bits: int = 16):
-        self.bits, self.n = bits, 0
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.rows = np.full(1 << bits, -1, np.int64)
-
-    def find(self, keys):
-        """Row of each key, -1 where it isn't there."""
-        mask = len(self.keys) - 1
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        rows = self.rows[at]
-        rows[(rows >= 0) & (self.keys[at] != keys)] = -2
-        open_ = np.flatnonzero(rows == -2)
-        while len(open_):
-            at[open_] = (at[open_] + 1) & mask
-            got = self.rows[at[open_]]
-            got[(got >= 0) & (self.keys[at[open_]] != keys[open_])] = -2
-            rows[open_] = got
-            open_ = open_[got == -2]
-        return rows
-
-    def add(self, keys, rows):
-        """Distinct keys that are not there yet."""
-        if (self.n + len(keys)) * 2 > len(self.keys):
-            old, there = self, self.rows >= 0
-            grown = WordTable(max(self.bits + 1, int((self.n + len(keys)) * 3).bit_length()))
-            grown.add(old.keys[there], old.rows[there])
-            self.bits, self.keys, self.rows, self.n = grown.bits, grown.keys, grown.rows, grown.n
-        self.n += len(keys)
-        mask = len(self.keys) - 1
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        todo = np.arange(len(keys))
-        while len(todo):
-            free = self.rows[at] < 0
-            self.rows[at[free]] = rows[todo[free]]  # the last of those at one slot stays
-            won = free & (self.rows[at] == rows[todo])
-            self.keys[at[won]] = keys[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & mask
-
-
 class WordBPE:
     def __init__(self, path: str):
         self.path, self._library = path, None

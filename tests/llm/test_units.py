@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from arborq.llm import near_dup, packing, pii, quality_model, toxicity
+from arborq.llm import near_dup, packing, pii, piece_bpe, quality_model, toxicity
 from arborq.llm._words import chunks, shingles_of, words_of
 from arborq.llm.neighbours import SortedProjections
 from arborq.llm.piece_bpe import Encoder, model_path
@@ -52,6 +52,54 @@ def test_piece_encoding_is_the_librarys():
         assert ids == ",".join(map(str, want)) and decoded == sp.decode(want)
 
 
+def test_piece_encoding_has_no_call_for_a_word():
+    """A column of 20,000 words, none of them met before, then met before, takes fewer Python and C calls than words."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abdeinorst") for _ in range(12)) for _ in range(20_000)]
+    column, encoder, calls = pa.array([" ".join(words[i : i + 500]) for i in range(0, 20_000, 500)]), Encoder(model_path()), [0, 0]
+    for k in range(2):
+        sys.setprofile(lambda frame, event, arg, k=k: calls.__setitem__(k, calls[k] + event.endswith("call")))
+        try:
+            encoder.run(column.to_pylist())
+        finally:
+            sys.setprofile(None)
+    assert calls[0] < 15_000 and calls[1] < 1_500
+
+
+@pytest.mark.parametrize("same_hash, words, block, long", [(False, 600_000, 1 << 18, 64), (True, 600_000, 1 << 18, 64), (False, 20, 7, 64), (False, 600_000, 1 << 18, 8), (False, 600_000, 5, 0)])
+def test_piece_encoding_with_shared_hashes_and_little_memory(monkeypatch, same_hash, words, block, long):
+    """Words whose hashes are the same, that are long, or don't differ but in trailing zeros, blocks within a text, and memories that start anew."""
+    monkeypatch.setattr(piece_bpe, "MAX_CACHED_WORDS", words)
+    monkeypatch.setattr(piece_bpe, "BLOCK_WORDS", block)
+    monkeypatch.setattr(piece_bpe, "LONG", long)
+    if same_hash:
+        monkeypatch.setattr(piece_bpe, "mix", lambda h: h % np.uint64(3))
+    sp, encoder = sentencepiece.SentencePieceProcessor(model_file=model_path()), Encoder(model_path())
+    edges = ["a\x00 a a\x00\x00 b", *("z" * n + " " + "z" * (n - 1) + "y" for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 200)), "日本" * 40 + " x", "▁", "▁▁ ", "\n\n", " \n ", "<unk> <s></s> <0x41>", "a" * 5000 + " b" * 5000]
+    texts = ODD + edges + noise(300, 7) + ODD + edges
+    for part in (texts[:40], [], [None], [""], texts[40:], texts):
+        for text, (ids, decoded) in zip(part, encoder.run(part), strict=True):
+            want = sp.encode(text or "")
+            assert ids == ",".join(map(str, want)) and decoded == sp.decode(want)
+
+
+def test_piece_encoding_without_byte_pieces():
+    """A model whose unknown characters are lost when decoded, and one whose pieces forbid the cut at spaces."""
+    model = piece_bpe.PieceModel(model_path())
+    ids, counts = model.encode_words(np.frombuffer(b" the\xe6\x97\xa5", np.uint8), np.array([4, 3]))
+    uncut = Encoder(model_path())
+    texts = [*ODD, *noise(50, 3)]
+    want = uncut.run(texts)
+    uncut.model, uncut.model.cut = model, False
+    uncut.forget()
+    assert uncut.run(texts) == want
+    model.byte_id, model.cut = {}, True
+    uncut.forget()
+    lost = model.decode([model.unk])
+    assert uncut.run(["the \U0001f9ff the", "the"]) == [(f"{model.id_of['▁the']},{model.id_of['▁']},{model.unk},{model.id_of['▁the']}", f"the {lost} the"), (f"{model.id_of['▁the']}", "the")]
+    assert counts.sum() == len(ids)
+
+
 def test_word_encoding_is_the_librarys():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, own = Tokenizer.from_file(path), WordBPE(path)
